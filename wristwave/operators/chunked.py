@@ -69,6 +69,12 @@ def with_halo(df: DataFrame, order: str, size: int, before: int, after: int) ->
     )
 
 
+@dataclass(frozen=True)
+class Frames:
+    frame: object
+    ordered: object
+
+
 def rolling(
     df: DataFrame,
     keys: list[str],
@@ -81,13 +87,15 @@ def rolling(
     """Row-frame expressions over a dense integer order axis.
 
     ``passes`` are applied in turn (a later pass may read an earlier result); each
-    maps an output name to ``fn(window) -> Column``.
+    maps an output name to ``fn(frames) -> Column`` with ``frames.frame`` the window of
+    ``before`` rows to ``after`` rows and ``frames.ordered`` the unframed window.
     """
     n = len(passes)
     out = with_halo(df, order, size, before * n, after * n)
-    w = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(-before, after)
+    ordered = W.partitionBy(*keys, "_chunk").orderBy(order)
+    frames = Frames(ordered.rowsBetween(-before, after), ordered)
     for step in passes:
-        out = out.withColumns({name: fn(w) for name, fn in step.items()})
+        out = out.withColumns({name: fn(frames) for name, fn in step.items()})
     return out.filter("_core").drop("_chunk", "_core")
 
 
@@ -177,6 +185,17 @@ def with_totals(
     return base.join(summary, [*keys, "_chunk"]).drop("_chunk")
 
 
+def join_group(df: DataFrame, group: DataFrame, keys: list[str], chunk: Column, how: str = "left") -> DataFrame:
+    """Attach one row per group to every row of the group without a join on the group key.
+
+    The group row is first spread over the group's chunks (a small table), so a group
+    with a third of all rows still joins in many tasks.
+    """
+    base = df.withColumn("_chunk", chunk)
+    spread = base.select(*keys, "_chunk").distinct().join(group, keys, how)
+    return base.join(spread, [*keys, "_chunk"]).drop("_chunk")
+
+
 # ---------------------------------------------------------------- runs of true
 def runs(df: DataFrame, keys: list[str], order: str, flag: Column, size: int = CHUNK) -> DataFrame:
     """Maximal runs of true flags: ``(keys, run_start, run_end, run_len)``; dense order axis."""

@@ -65,7 +65,7 @@ def fill_linear_nearest(df, exprs, keys=KEYS, order=IDX, size=CHUNK):
 
 def moving_median_outliers(df, cols: list[str], window: int, threshold: float = 3.0, keys=KEYS, order=IDX) -> DataFrame:
     """|x - med| > threshold * 1.4826 * MAD over a centred frame, then refill; ``<col>_replaced`` marks them."""
-    med = lambda c: (lambda w: F.percentile(F.col(c), 0.5).over(w))
+    med = lambda c: (lambda w: F.percentile(F.col(c), 0.5).over(w.frame))
     before, after = window // 2, (window - 1) // 2
     dev = {f"_d_{c}": (lambda c: lambda w: F.abs(F.col(c) - F.col(f"_m_{c}")))(c) for c in cols}
     out = rolling(
