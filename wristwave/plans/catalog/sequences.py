@@ -53,7 +53,7 @@ def w2(spark, sf):
 @query(
     "w3_feature_windows",
     f"""WITH {_win_sql(WIN, STEP, 25)} SELECT x.recording, k AS window_idx, {rq('avg(accx)')} AS mean_x, {rq('stddev_pop(accx)')} AS std_x
-FROM wins x JOIN sensor y ON x.recording = y.recording AND y.sample_idx >= s AND y.sample_idx < s + {WIN} JOIN len USING (recording) WHERE s + {WIN} <= n - 250 GROUP BY 1, 2""",
+FROM wins x JOIN sensor y ON x.recording = y.recording AND y.sample_idx >= s AND y.sample_idx < s + {WIN} JOIN len ON len.recording = x.recording WHERE s + {WIN} <= n - 250 GROUP BY 1, 2""",
     ("sensor",),
 )
 def w3(spark, sf):
