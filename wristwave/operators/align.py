@@ -74,21 +74,23 @@ def shifted(df: DataFrame, value: str, biases: list[float], keys=["recording"],
     out = rolling(df, keys, order, [{"_vals": lambda w: F.collect_list(F.struct(F.col(value).alias("v"))).over(w.frame)}], back, ahead)
     out = join_group(out, edge, keys, chunk_col(order, CHUNK))
     lo = F.greatest(F.lit(0), F.col(order) - back)
-    cols = []
-    for b, s in zip(biases, steps):
-        pos = F.col(order) + s
+
+    def value_at(b: Column) -> Column:
+        pos = F.col(order) + b / F.lit(float(step_s))
         i0 = F.floor(pos)
         at = lambda i: F.get("_vals", (i - lo).cast("int"))["v"]
-        inside = at(i0) + (at(i0 + 1) - at(i0)) * (pos - i0)
         v = (
             F.when(F.col("_n") < 2, F.lit(None))
             .when(pos < 0, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * pos)
             .when(pos > F.col("_n") - 1, F.col("_vn") + (F.col("_vn") - F.col("_vm")) * (pos - (F.col("_n") - 1)))
             .when(i0 == F.col("_n") - 1, F.col("_vn"))
-            .otherwise(inside)
+            .otherwise(at(i0) + (at(i0 + 1) - at(i0)) * (pos - i0))
         )
-        cols.append(F.struct(F.lit(float(b)).alias("bias"), v.alias("v")))
-    return out.withColumn("_at", F.array(*cols)).drop("_vals", "_n", "_v0", "_vn", "_v1", "_vm")
+        return F.struct(b.alias("bias"), v.alias("v"))
+
+    # one lambda over the offsets, not one expression per offset: the generated code stays small
+    all_at = F.transform(F.array(*[F.lit(float(b)) for b in biases]), value_at)
+    return out.withColumn("_at", all_at).drop("_vals", "_n", "_v0", "_vn", "_v1", "_vm")
 
 
 def grid(df: DataFrame, keys: list[str], count: Column, out: str, block: int = CHUNK) -> DataFrame:

@@ -161,7 +161,8 @@ def channel_correlations(df: DataFrame, pairs: list[tuple[str, str]], keys: list
     """Pearson, 0 when a side is constant."""
     def c(a, b):
         const = (F.max(a) == F.min(a)) | (F.max(b) == F.min(b))
-        return F.when(const, F.lit(0.0)).otherwise(F.coalesce(F.corr(a, b), F.lit(0.0)))
+        spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+        return F.when(const, F.lit(0.0)).otherwise(F.coalesce(F.covar_pop(a, b) / spread, F.lit(0.0)))
     return df.groupBy(*keys).agg(*[c(a, b).alias(f"corr_{a}_{b}") for a, b in pairs])
 
 
