@@ -128,10 +128,10 @@ def clean_numeric(df, exprs: dict[str, Column], keys=KEYS, order=IDX) -> DataFra
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in exprs})
 
 
-def cold_film_ratio(df, uc: str, ut: str, out: str, keys=KEYS, order=IDX) -> DataFrame:
-    """P5"""
-    filled = fill_linear_nearest(df, {out: bridge_ratio(F.col(uc), F.col(ut))}, keys, order)
-    return filled.withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+def cold_film_ratios(df, pairs: dict[str, tuple[str, str]], keys=KEYS, order=IDX) -> DataFrame:
+    """P5: ``{out: (uc, ut)}``; vanishing denominators are filled like gaps, 0 when nothing is valid."""
+    filled = fill_linear_nearest(df, {o: bridge_ratio(F.col(uc), F.col(ut)) for o, (uc, ut) in pairs.items()}, keys, order)
+    return filled.withColumns({o: F.coalesce(F.col(o), F.lit(0.0)) for o in pairs})
 
 
 def repair_unreliable(df, cols: list[str], time: str, reliable: Column, keys=KEYS, size: float = CHUNK) -> DataFrame:

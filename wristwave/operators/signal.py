@@ -453,19 +453,21 @@ def fuse_spectra(df: DataFrame, bins: list[str], weights: list[Column], keys: li
     return df.withColumn("fused", F.transform(z, one))
 
 
-def band_peaks(amps: Column, freq_step: float, low: float = 1.0, high: float = 4.0, percent: float = 0.3, motion_hz: Column | None = None, weight=0.2, width=0.2) -> Column:
-    """G23 front: penalty on bins, local maxima inside (low, high), above ``percent`` of the best, frequencies by amplitude."""
+def band_peaks(
+    df: DataFrame, amps: str, out: str, freq_step: float, low: float = 1.0, high: float = 4.0, percent: float = 0.3,
+    motion_hz: str | None = None, weight=0.2, width=0.2,
+) -> DataFrame:
+    """G23 front: penalty on bins, local maxima inside (low, high), above ``percent`` of the best,
+    frequencies by amplitude. Stepwise columns, so no lambda evaluates another one again."""
     freq = lambda i: i * F.lit(freq_step)
+    bins = F.transform(amps, lambda a, i: F.struct(freq(i).alias("f"), a.alias("a")))
     if motion_hz is not None:
-        amps = F.transform(amps, lambda a, i: F.when((F.abs(freq(i) - motion_hz) < width) | (F.abs(freq(i) - motion_hz * 2) < width), a * weight).otherwise(a))
-    band = F.filter(F.transform(amps, lambda a, i: F.struct(freq(i).alias("f"), a.alias("a"))), lambda p: (p["f"] > low) & (p["f"] < high))
-    last = F.size(band) - 1
-    tops = F.filter(
-        F.transform(band, lambda p, i: F.when(
-            (i > 0) & (i < last) & (p["a"] > F.get(band, i - 1)["a"]) & (p["a"] > F.get(band, i + 1)["a"]),
-            F.struct((-p["a"]).alias("n"), p["f"].alias("f")))),
-        lambda p: p.isNotNull(),
-    )
-    best = F.array_max(F.transform(tops, lambda p: -p["n"]))
-    kept = F.filter(tops, lambda p: -p["n"] > best * percent)
-    return F.transform(F.array_sort(kept), lambda p: p["f"])
+        bins = penalised(bins, F.col(motion_hz), weight, width)
+    step = df.withColumn("_band", F.filter(bins, lambda p: (p["f"] > low) & (p["f"] < high)))
+    last = F.size("_band") - 1
+    tops = F.transform("_band", lambda p, i: F.when(
+        (i > 0) & (i < last) & (p["a"] > F.get("_band", i - 1)["a"]) & (p["a"] > F.get("_band", i + 1)["a"]),
+        F.struct((-p["a"]).alias("n"), p["f"].alias("f"))))
+    step = step.withColumn("_tops", F.array_sort(F.array_compact(tops)))
+    step = step.withColumn("_best", -F.get("_tops", F.lit(0))["n"] * percent)
+    return step.withColumn(out, F.transform(F.filter("_tops", lambda p: -p["n"] > F.col("_best")), lambda p: p["f"])).drop("_band", "_tops", "_best")

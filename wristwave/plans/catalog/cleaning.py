@@ -158,4 +158,4 @@ def c10(spark, sf):
 )
 def p5(spark, sf):
     src = t.sensor(spark, sf).withColumns({"uc": F.col("accx") / 100, "ut": F.col("accx") / 100 + F.col("accy")})
-    return clean.cold_film_ratio(src, "uc", "ut", "cf").select(*_IDS, r("cf").alias("cf"))
+    return clean.cold_film_ratios(src, {"cf": ("uc", "ut")}).select(*_IDS, r("cf").alias("cf"))

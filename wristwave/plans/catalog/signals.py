@@ -262,8 +262,8 @@ SELECT label, vec_id, {r} AS hr FROM tr""".replace("{r}", rq("hr", 8))
 @query("g23_merged_spectrum_tracking", _G23, ("vectors",))
 def g23(spark, sf):
     v = t.vectors(spark, sf)
-    amps = F.transform("x", lambda a: F.abs(a))
-    v = v.withColumn("freqs", sg.band_peaks(amps, 0.0625, motion_hz=F.lit(1.5)))
+    v = v.withColumn("amps", F.transform("x", lambda a: F.abs(a))).withColumn("mf", F.lit(1.5))
+    v = sg.band_peaks(v, "amps", "freqs", 0.0625, motion_hz="mf")
     out = tr.track(v, ["label"], "vec_id", "freqs", 25 / 60, 10.0, 7.0)
     return out.select("label", "vec_id", r("hr", 8).alias("hr"))
 

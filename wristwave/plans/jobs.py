@@ -247,8 +247,8 @@ def estimate_hr_single(samples: DataFrame, ref: DataFrame, p: HrParams = SINGLE,
     fs, win = p.fs_target, 8 * p.fs_target
     src = samples.withColumn("ppg", F.col(p.ppg_mode)).withColumns({"hf1": F.col("ut1"), "hf2": F.col("ut2")})
     if "CF" in p.reference_groups:
-        for i in ("1", "2"):
-            src = clean.cold_film_ratio(src, f"uc{i}", f"ut{i}", f"cf{i}", keys)
+        bridge = clean.clean_numeric(src, {c: F.col(c) for c in ("uc1", "uc2", "ut1", "ut2")}, keys)
+        src = clean.cold_film_ratios(bridge, {f"cf{i}": (f"uc{i}", f"ut{i}") for i in (1, 2)}, keys)
     refs = [c for g in p.reference_groups for c in GROUP_CHANNELS[g]]
     cols = ["ppg", *dict.fromkeys([*refs, *ACC])]
     cond = condition(src, cols, p, keys)
@@ -328,10 +328,10 @@ def spo2_windows(samples: DataFrame, fs: int, p: Spo2Params = Spo2Params(), keys
     """Windows of red and IR with their cleaned versions (``clean``), stages and motion score."""
     keys = keys or ["recording"]
     win, step = int(round(p.window_s * fs)), int(round(p.step_s * fs))
-    names = {"red": "ppg_red", "ir": "ppg_ir", "hf1": "ut1", "hf2": "ut2", **{c: c for c in ACC}}
+    names = {"red": "ppg_red", "ir": "ppg_ir", "hf1": "ut1", "hf2": "ut2", "uc1": "uc1", "uc2": "uc2", **{c: c for c in ACC}}
     s = clean.clean_numeric(samples, {n: F.col(c) for n, c in names.items()}, keys)
-    for i in ("1", "2"):
-        s = clean.cold_film_ratio(s, f"uc{i}", f"ut{i}", f"cf{i}", keys)
+    if "CF" in p.reference_groups:
+        s = clean.cold_film_ratios(s, {f"cf{i}": (f"uc{i}", f"hf{i}") for i in (1, 2)}, keys)
     refs = [c for g in p.reference_groups for c in GROUP_CHANNELS[g]]
     s = s.withColumn("mag", magnitude(*[F.col(c) for c in ACC])).withColumn("miss", (~F.col("valid")).cast("double"))
     moments = w.window_moments(s, {"mag": F.col("mag"), "miss": F.col("miss")}, win, step, keys=keys)
@@ -567,7 +567,6 @@ def expert_spectrum_fusion(samples: DataFrame, shares: DataFrame, experts: dict[
     flags = source_motion(src, cond, base, keys)
     wins, win, pad = hr_windows(cond, [*refs, *ACC], base, keys, flags)
     out = wins.join(shares, ["recording", "window_idx"], "left")
-    uniform = F.lit(1.0 / len(experts))
     out = out.fillna(1.0 / len(experts), [f"w_{e}" for e in experts])
     spec = sg.amplitude_spectrum(nfft)
     for e, p in experts.items():
@@ -579,8 +578,9 @@ def expert_spectrum_fusion(samples: DataFrame, shares: DataFrame, experts: dict[
     ref_peak = sg.peak_frequencies(base.fs_target, penalise=False)(F.get(f"st_{next(iter(experts))}.signal", F.lit(0)), F.lit(None).cast("array<double>"))
     out = out.withColumn("_mf", F.get(ref_peak, F.lit(0)))
     hz = base.fs_target / nfft
-    band = F.slice("fused", 1, int(4.2 / hz))
-    out = out.withColumn("f_hf", F.when(F.col("motion"), sg.band_peaks(band, hz, motion_hz=F.col("_mf"), weight=base.penalty_weight, width=base.penalty_width)).otherwise(F.array().cast("array<double>")))
+    out = out.withColumn("_low", F.when(F.col("motion"), F.slice("fused", 1, int(4.2 / hz))))
+    out = sg.band_peaks(out, "_low", "f_hf", hz, motion_hz="_mf", weight=base.penalty_weight, width=base.penalty_width)
+    out = out.withColumn("f_hf", F.coalesce("f_hf", F.array().cast("array<double>")))
     out = out.withColumn("f_fft", fft_candidates(out, win, base))
     table = out.select("recording", "window_idx", "motion", "f_fft", "f_hf")
     tr = track_paths(table, keys, ["hf"], "motion", tracking_columns(base))
