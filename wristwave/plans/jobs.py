@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wristwave.functions.scalars import GROUP_CHANNELS, magnitude, order_from_delay, spo2_from_r
 from wristwave.operators import clean, signal as sg, stats as st, windows as w
 from wristwave.operators.align import interpolate, shifted
-from wristwave.operators.chunked import CHUNK, chunk_col, join_group, longest_run
+from wristwave.operators.chunked import CHUNK, chunk_col, join_group, longest_run, rolling
 from wristwave.operators.delay import delay_profile, window_delays
 from wristwave.operators.tracking import fold, post_motion_slew, post_recovery_blend, tracked
 from wristwave.session import materialise
@@ -96,16 +96,27 @@ def source_motion(samples: DataFrame, cond: DataFrame, p: HrParams, keys: list[s
                           start=int(round(p.time_start * fs)), keys=keys)
 
 
-def hr_windows(cond: DataFrame, refs: list[str], p: HrParams, keys: list[str], flags: DataFrame, lead: int = 1) -> tuple[DataFrame, int, int]:
+def window_plan(cond: DataFrame, flags: DataFrame, p: HrParams, keys: list[str], *groups: DataFrame) -> DataFrame:
+    """The per-window table that decides what is computed: flags, buffer rule and per-recording values.
+
+    It is stored: it is small, and it is joined to the window arrays and read again later.
+    """
+    out = cond.groupBy(*keys).agg((F.max("sample_idx") + 1).alias("_n"))
+    for g in groups:
+        out = out.join(g, keys, "left")
+    table = join_group(flags, out, keys, chunk_col("window_idx", CHUNK))
+    start = F.col("window_idx") * p.fs_target + int(round(p.time_start * p.fs_target))
+    last = F.col("_n") - int(round(p.time_buffer * p.fs_target))
+    return materialise(table.filter((F.col("window_idx") == 0) | (start <= last)).drop("_n"), "windows")
+
+
+def hr_windows(cond: DataFrame, refs: list[str], p: HrParams, keys: list[str], plan: DataFrame, lead: int = 1) -> tuple[DataFrame, int, int]:
     """Window arrays starting one sample early (the delay search does), references padded by 0.2 s."""
     fs, win = p.fs_target, 8 * p.fs_target
     pad, start = round(0.2 * fs), int(round(p.time_start * fs))
     wins = w.window_arrays(cond, ["ppg", *refs], win + lead, fs, start - lead, pad, tuple(refs), keys=keys)
     wins = wins.withColumn("start_idx", F.col("start_idx") + lead)
-    lengths = cond.groupBy(*keys).agg((F.max("sample_idx") + 1).alias("_n"))
-    wins = join_group(wins, lengths, keys, chunk_col("window_idx", CHUNK))
-    wins = wins.filter((F.col("window_idx") == 0) | (F.col("start_idx") <= F.col("_n") - int(round(p.time_buffer * fs)))).drop("_n")
-    return wins.join(flags, [*keys, "window_idx"]), win, pad
+    return wins.join(plan, [*keys, "window_idx"]), win, pad
 
 
 def _core(c: str, win: int, lead: int = 1, padded: bool = True) -> Column:
@@ -164,6 +175,7 @@ def reference_at(df: DataFrame, ref: DataFrame, keys: list[str], time: str, out:
 
 
 def _reindexed(df: DataFrame, keys: list[str]) -> DataFrame:
+    df = materialise(df, "scored")
     first = df.groupBy(*keys).agg(F.min("window_idx").alias("_w0"))
     out = join_group(df, first, keys, chunk_col("window_idx", CHUNK))
     return out.withColumn("row_idx", F.col("window_idx") - F.col("_w0")).drop("_w0")
@@ -171,8 +183,8 @@ def _reindexed(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def score(df: DataFrame, methods: list[str], keys: list[str], bias: float) -> tuple[DataFrame, DataFrame]:
     """Reference shifted by the time bias, error statistics."""
-    at = shifted(_reindexed(df, keys), "ref", [bias], keys, "row_idx")
-    at = at.withColumn("ref_aligned", F.get("_at", F.lit(0))["v"]).drop("_at")
+    at = shifted(materialise(_reindexed(df, keys), "rated"), "ref", [bias], keys, "row_idx")
+    at = materialise(at.withColumn("ref_aligned", F.get("_at", F.lit(0))["v"]).drop("_at"), "aligned")
     err = st.error_stats(at.withColumns({m: F.col(m) * 60 for m in methods}).withColumn("_r", F.col("ref_aligned") * 60), methods, "_r", "motion", "reliable_i", keys)
     return at, err
 
@@ -184,8 +196,9 @@ def peak_table_dual(samples: DataFrame, p: HrParams, keys: list[str]) -> DataFra
     cols = ["ppg", *refs, *ACC]
     src = samples.withColumn("ppg", F.col(p.ppg_mode))
     cond = condition(src, cols, p, keys)
-    flags = source_motion(src, cond, p, keys)
-    wins, win, pad = hr_windows(cond, [*refs, *ACC], p, keys, flags)
+    flags = materialise(source_motion(src, cond, p, keys), "motion")
+    win, pad = 8 * p.fs_target, round(0.2 * p.fs_target)
+    groups = []
     lo = {"HF": F.lit(-pad), "ACC": F.lit(-pad)}
     hi = {"HF": F.lit(pad), "ACC": F.lit(pad)}
     if p.delay_search == "adaptive":
@@ -195,12 +208,13 @@ def peak_table_dual(samples: DataFrame, p: HrParams, keys: list[str]) -> DataFra
         wide = prof.groupBy(*keys).agg(*[
             F.max(F.when(F.col("group") == g, F.col(c))).alias(f"_{c}_{g}") for g in ("HF", "ACC") for c in ("min_lag", "max_lag")
         ])
-        wins = join_group(wins, wide, keys, chunk_col("window_idx", CHUNK))
+        groups.append(wide)
         for g in lo:
             a, b = F.greatest(F.lit(-pad), F.col(f"_min_lag_{g}")), F.least(F.lit(pad), F.col(f"_max_lag_{g}"))
             bad = F.coalesce(a > b, F.lit(True))
             lo[g], hi[g] = F.when(bad, -pad).otherwise(a), F.when(bad, pad).otherwise(b)
-    out = wins
+    plan = window_plan(cond, flags, p, keys, *groups)
+    out, win, pad = hr_windows(cond, [*refs, *ACC], p, keys, plan)
     for g, chans, k, scale, top in (("HF", refs, 0, 1.0, p.hf_channels), ("ACC", ACC, 1, 1.5, p.acc_channels)):
         tag = g.lower()
         out = window_delays(out, "ppg", chans, pad, win, {c: k for c in chans}, p.max_order, top, lo[g], hi[g], scale,
@@ -215,15 +229,15 @@ def peak_table_dual(samples: DataFrame, p: HrParams, keys: list[str]) -> DataFra
 
 def finish_dual(tracks: DataFrame, samples: DataFrame, ref: DataFrame, p: HrParams, keys: list[str]) -> HrResult:
     t = tracks.withColumn("t_s0", F.col("window_idx") + F.lit(p.time_start)).withColumn("motion", F.col("motion").cast("int"))
+    t = materialise(t, "tracks")  # window tables are small; storing them keeps the plans below flat
     t = reference_at(t.withColumn("_c", F.col("t_s0") + 4.0), ref, keys, "_c", "ref_bpm").withColumn("ref", F.col("ref_bpm") / 60).drop("_c", "ref_bpm")
     if p.scope == "motion":
         t = w.analysis_scope(t, "motion", "t_s0", p.pre_motion_s, keys=keys)
-    t = w.moving_median(t, {"lms_hf": "hf", "lms_acc": "acc", "fft": "fft"}, p.smooth_win_len, keys)
-    t = w.fuse_v1(t, "lms_hf", "fft", "motion", "fusion_hf", keys)
-    t = w.fuse_v1(t, "lms_acc", "fft", "motion", "fusion_acc", keys)
+    t = smooth_and_fuse(materialise(t, "scoped"), p.smooth_win_len, keys)
     q = quality_of(samples, p, keys).select(*keys, "window_idx", "missing_ratio", "reliable")
     t = t.join(q, [*keys, "window_idx"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(True)))
     methods = ["lms_hf", "lms_acc", "fft", "fusion_hf", "fusion_acc"]
+    t = materialise(t, "fused")
     if p.repair:
         t = clean.repair_unreliable(t, methods, "t_s0", F.col("reliable"), keys)
     t = t.withColumn("reliable_i", F.col("reliable").cast("int"))
@@ -232,6 +246,21 @@ def finish_dual(tracks: DataFrame, samples: DataFrame, ref: DataFrame, p: HrPara
     return HrResult(rows, err)
 
 
+def smooth_and_fuse(t: DataFrame, width: int, keys: list[str]) -> DataFrame:
+    """W8 then W20 in one chunked pass: medians, motion switch, median of three."""
+    med = lambda c: (lambda fr: F.percentile(F.col(c), 0.5).over(fr.ordered.rowsBetween(-(width // 2), (width - 1) // 2)))
+    m = F.col("motion") == 1
+    mix = lambda c: (lambda fr: F.when(m, F.col(c)).otherwise(F.col("_fft")))
+    three = lambda c: (lambda fr: F.percentile(F.col(c), 0.5).over(fr.ordered.rowsBetween(-1, 1)))
+    reach = width // 2 + 1
+    out = rolling(t, keys, "window_idx", [
+        {"_hf": med("hf"), "_acc": med("acc"), "_fft": med("fft")},
+        {"_mh": mix("_hf"), "_ma": mix("_acc")},
+        {"fusion_hf": three("_mh"), "fusion_acc": three("_ma")},
+    ], reach, reach)
+    return out.drop("hf", "acc", "fft", "_mh", "_ma").withColumnsRenamed({"_hf": "lms_hf", "_acc": "lms_acc", "_fft": "fft"})
+
+
 def estimate_hr_dual(samples: DataFrame, ref: DataFrame, p: HrParams = HrParams(), keys: list[str] | None = None) -> HrResult:
     """HF and ACC cascades beside plain FFT; frequencies in Hz, errors in BPM."""
     keys = keys or ["recording"]
@@ -256,9 +285,10 @@ def estimate_hr_single(samples: DataFrame, ref: DataFrame, p: HrParams = SINGLE,
     mag = magnitude(*[F.col(c) for c in ACC])
     seg_flags = w.motion_flags(cond, mag, win, fs, max(2, int(round(p.calib_time * fs))), p.motion_th_scale, relative_floor=0.05, keys=keys)
     run = longest_run(seg_flags, keys, "window_idx", F.col("motion"))
-    seg = run.select(*keys, (F.col("run_start") + 4.0).alias("start_s"), (F.col("run_end") + 4.0).alias("end_s"))
-    wins, win, pad = hr_windows(cond, list(dict.fromkeys([*refs, *ACC])), p, keys, flags)
-    wins = join_group(wins, seg, keys, chunk_col("window_idx", CHUNK)).withColumn("center_s", F.col("start_idx") / fs + 4.0)
+    seg = materialise(run.select(*keys, (F.col("run_start") + 4.0).alias("start_s"), (F.col("run_end") + 4.0).alias("end_s")), "segment")
+    plan = window_plan(cond, flags, p, keys, seg)
+    wins, win, pad = hr_windows(cond, list(dict.fromkeys([*refs, *ACC])), p, keys, plan)
+    wins = wins.withColumn("center_s", F.col("start_idx") / fs + 4.0)
     wins = wins.withColumn("adaptive", F.coalesce(F.col("center_s") >= F.col("start_s"), F.lit(False)) if refs else F.lit(False))
     out = wins
     if refs:
@@ -282,14 +312,14 @@ def estimate_hr_single(samples: DataFrame, ref: DataFrame, p: HrParams = SINGLE,
     side = table.select(*keys, "window_idx", "center_s", "is_motion", *(["adaptive_stages"] if refs else []))
     t = tr.drop("adaptive").join(side, [*keys, "window_idx"])
     t = w.moving_median(t, {"ad": "ad", "fft": "fft"}, p.smooth_win_len, keys)
-    t = t.withColumns({"ad": F.col("ad") * 60, "fft": F.col("fft") * 60})
+    t = materialise(t.withColumns({"ad": F.col("ad") * 60, "fft": F.col("fft") * 60}), "smoothed")
     t = w.fuse_v2(t, "ad", "fft", seg if refs else seg.filter("false"), "center_s", p.post_motion_s if p.scope == "full" else 0.0, p.recovery_trigger_bpm, keys)
     q = quality_of(samples, p, keys).select(*keys, "window_idx", "missing_count", "missing_ratio", "max_gap", "reliable")
     t = t.join(q, [*keys, "window_idx"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(True)))
-    t = reference_at(t, ref, keys, "center_s", "ref_bpm")
+    t = reference_at(materialise(t, "fused"), ref, keys, "center_s", "ref_bpm")
     if p.repair:
-        t = clean.repair_unreliable(t, ["fft", "final"], "center_s", F.col("reliable"), keys)
-    t = join_group(t, seg, keys, chunk_col("window_idx", CHUNK))
+        t = clean.repair_unreliable(materialise(t, "referenced"), ["fft", "final"], "center_s", F.col("reliable"), keys)
+    t = materialise(join_group(t, seg, keys, chunk_col("window_idx", CHUNK)), "repaired")
     c = F.col("center_s")
     inside = F.lit(True) if p.scope == "full" else F.coalesce((c >= F.greatest(F.lit(0.0), F.col("start_s") - p.pre_motion_s)) & (c <= F.col("end_s")), F.lit(True))
     t = t.withColumn("in_analysis_scope", inside).withColumns({"reliable_i": F.col("reliable").cast("int"), "motion": F.col("is_motion").cast("int"), "ref": F.col("ref_bpm") / 60})
@@ -334,6 +364,7 @@ def spo2_windows(samples: DataFrame, fs: int, p: Spo2Params = Spo2Params(), keys
         s = clean.cold_film_ratios(s, {f"cf{i}": (f"uc{i}", f"hf{i}") for i in (1, 2)}, keys)
     refs = [c for g in p.reference_groups for c in GROUP_CHANNELS[g]]
     s = s.withColumn("mag", magnitude(*[F.col(c) for c in ACC])).withColumn("miss", (~F.col("valid")).cast("double"))
+    s = materialise(s.select(*keys, "sample_idx", "red", "ir", *refs, "mag", "miss"), "spo2-clean")
     moments = w.window_moments(s, {"mag": F.col("mag"), "miss": F.col("miss")}, win, step, keys=keys)
     moments = moments.select(*keys, "window_idx", w.sample_std("mag").alias("motion_score"), F.col("miss_mean").alias("missing_ratio"))
     wins = w.window_arrays(s, ["red", "ir", *refs], win, step, 0, p.delay_samples, tuple(refs), keys=keys)
@@ -387,7 +418,7 @@ def estimate_spo2(samples: DataFrame, fs: int = 100, p: Spo2Params = Spo2Params(
     t = t.join(per, [*keys, "window_idx"], "left").fillna(0, ["raw_valid_beat_count", "adaptive_valid_beat_count"])
     t = t.withColumns({f"{s}_spo2": spo2_from_r(F.col(f"{s}_r_median")) for s in ("raw", "adaptive")})
     t = t.withColumns({f"{s}_spo2": F.when(F.col(f"{s}_r_median").isNotNull(), F.col(f"{s}_spo2")) for s in ("raw", "adaptive")})
-    t = clean.carry_forward(t, ["raw_spo2", "adaptive_spo2"], keys, "window_idx")
+    t = clean.carry_forward(materialise(t, "spo2-windows"), ["raw_spo2", "adaptive_spo2"], keys, "window_idx")
     t = t.withColumnRenamed("raw_spo2_carried", "raw_carried_forward").withColumnRenamed("adaptive_spo2_carried", "adaptive_carried_forward")
     t = t.withColumn("reliable", (F.col("missing_ratio") <= 0.20) & (F.col("adaptive_valid_beat_count") > 0))
     width = max(1, int(round(p.smooth_s / p.step_s)))
@@ -451,17 +482,16 @@ def parameter_sweep(samples: DataFrame, ref: DataFrame, base: HrParams, grid: li
     table = materialise(table, "sweep")
     names = list(tracking_columns(base))
     tr = track_paths(table, keys, ["hf", "acc"], "motion", {n: F.col(n) for n in names})
+    tr = tr.withColumn("motion", F.col("motion").cast("int")).withColumn("_c", F.col("window_idx") + F.lit(base.time_start + 4.0))
+    tr = reference_at(materialise(tr, "sweep-tracks"), ref, keys, "_c", "ref_bpm").withColumn("ref", F.col("ref_bpm") / 60).drop("_c", "ref_bpm")
+    tr = materialise(tr, "sweep-referenced")
     by_width = {}
     for i, s in enumerate(spec):
         by_width.setdefault((s.smooth_win_len, s.time_bias), []).append(i)
     errors = []
     for (width, bias), ids in by_width.items():
         part = tr.filter(F.col("trial").isin(ids))
-        t = part.withColumn("motion", F.col("motion").cast("int")).withColumn("t_s0", F.col("window_idx") + F.lit(base.time_start))
-        t = reference_at(t.withColumn("_c", F.col("t_s0") + 4.0), ref, keys, "_c", "ref_bpm").withColumn("ref", F.col("ref_bpm") / 60)
-        t = w.moving_median(t, {"hf": "hf", "acc": "acc", "fft": "fft"}, width, keys)
-        t = w.fuse_v1(t, "hf", "fft", "motion", "fusion_hf", keys)
-        t = w.fuse_v1(t, "acc", "fft", "motion", "fusion_acc", keys).withColumn("reliable_i", F.lit(1))
+        t = smooth_and_fuse(part, width, keys).withColumn("reliable_i", F.lit(1))
         errors.append(score(t, ["fusion_hf", "fusion_acc"], keys, bias)[1])
     out = errors[0]
     for e in errors[1:]:
@@ -496,12 +526,14 @@ def rest_tracking_study(samples: DataFrame, ref: DataFrame, base: HrParams, grid
     table = materialise(peaks.withColumn("_s", F.explode(sets)).select("recording", "window_idx", "motion", "f_fft", "f_hf", "_s.*"), "study")
     tr = track_paths(table, keys, ["hf"], "motion", {n: F.col(n) for n in par}, mode=F.col("mode"))
     q = quality_of(samples, base, ["recording"]).select("recording", "window_idx", F.col("reliable").cast("int").alias("reliable_i"))
+    tr = tr.join(q, ["recording", "window_idx"], "left").fillna(1, ["reliable_i"]).withColumn("_c", F.col("window_idx") + F.lit(base.time_start + 4.0))
+    tr = materialise(reference_at(materialise(tr, "study-tracks"), ref, keys, "_c", "ref_bpm").drop("_c"), "study-referenced")
     results = []
     for width in sorted({g["smooth"] for g in grid}):
         ids = [i for i, g in enumerate(grid) if g["smooth"] == width]
         t = tr.filter(F.col("trial").isin(ids))
         t = w.moving_median(t, {"hf": "hf", "fft": "fft"}, width, keys)
-        t = w.fuse_v1(t.withColumn("m", F.col("motion").cast("int")), "hf", "fft", "m", "final", keys)
+        t = materialise(w.fuse_v1(t.withColumn("m", F.col("motion").cast("int")), "hf", "fft", "m", "final", keys), "study-fused")
         for mode in sorted({grid[i]["mode"] for i in ids} & {"post_motion_slew", "post_recovery_blend"}):
             mine = [i for i in ids if grid[i]["mode"] == mode]
             part, rest = t.filter(F.col("trial").isin(mine)), t.filter(~F.col("trial").isin(mine))
@@ -513,9 +545,8 @@ def rest_tracking_study(samples: DataFrame, ref: DataFrame, base: HrParams, grid
             part = part.drop("fft").join(adj.select(*keys, "window_idx", "fft"), [*keys, "window_idx"])
             part = part.withColumn("final", F.when(F.col("motion"), F.col("final")).otherwise(F.col("fft")))
             t = rest.unionByName(part.select(rest.columns))
-        t = t.join(q, ["recording", "window_idx"], "left").fillna(1, ["reliable_i"])
-        t = reference_at(t.withColumn("_c", F.col("window_idx") + F.lit(base.time_start + 4.0)), ref, keys, "_c", "ref_bpm").drop("_c")
-        t = w.segment_labels(t.withColumns({"final": F.col("final") * 60, "fft": F.col("fft") * 60}), F.col("motion"), keys)
+        t = materialise(t.withColumns({"final": F.col("final") * 60, "fft": F.col("fft") * 60}), "study-final")
+        t = materialise(w.segment_labels(t, F.col("motion"), keys), "study-labels")
         results.append(st.time_bias_scan(t, "final", "fft", "ref_bpm", "reliable_i", biases, keys))
     out = results[0]
     for x in results[1:]:
@@ -565,9 +596,9 @@ def expert_spectrum_fusion(samples: DataFrame, shares: DataFrame, experts: dict[
     src = samples.withColumn("ppg", F.col(base.ppg_mode))
     cond = condition(src, cols, base, keys)
     flags = source_motion(src, cond, base, keys)
-    wins, win, pad = hr_windows(cond, [*refs, *ACC], base, keys, flags)
-    out = wins.join(shares, ["recording", "window_idx"], "left")
-    out = out.fillna(1.0 / len(experts), [f"w_{e}" for e in experts])
+    weighted = flags.join(shares, ["recording", "window_idx"], "left").fillna(1.0 / len(experts), [f"w_{e}" for e in experts])
+    plan = window_plan(cond, weighted, base, keys)
+    out, win, pad = hr_windows(cond, [*refs, *ACC], base, keys, plan)
     spec = sg.amplitude_spectrum(nfft)
     for e, p in experts.items():
         out = window_delays(out, "ppg", refs, pad, win, {c: 0 for c in refs}, p.max_order, name=f"st_{e}", m=f"m_{e}", delay=f"d_{e}", lead=1, active=F.col("motion"))
@@ -598,7 +629,7 @@ def re_evaluate(samples: DataFrame, ref: DataFrame, reports: DataFrame, base: Hr
     peaks = peak_table_dual(samples, base, ["recording"])
     par = tracking_columns(base)
     rep = reports.select("recording", "case_name", *[F.coalesce(F.col(n), par[n]).alias(n) for n in par])
-    table = materialise(join_cases(peaks, rep), "cases")
+    table = materialise(join_cases(materialise(peaks, "candidates"), rep), "cases")
     tr = track_paths(table, keys, ["hf", "acc"], "motion", {n: F.col(n) for n in par})
     long = samples.join(rep.select("recording", "case_name").distinct(), "recording")
     return finish_dual(tr, long, ref, base, keys)
