@@ -1 +1,230 @@
+"""Every reader and writer as a round trip through the shared folder."""
 
+from pyspark.sql import functions as F
+
+from wristwave.operators import stats as st
+from wristwave.plans.catalog.sequences import MAG
+from wristwave.plans.catalog.statistics import _A3
+from wristwave.plans.registry import query, r, rq
+from wristwave.session import shared_path
+from wristwave.sources import recordings as rec
+from wristwave.sources import sinks as sk
+from wristwave.sources import tables as t
+
+_NAME = F.concat(F.lit("r"), F.col("recording").cast("string")).alias("recording")
+
+
+def _rec(spark, sf):
+    s = rec.from_sensor(spark, sf)
+    return s.select(_NAME, *[c for c in s.columns if c != "recording"])
+
+
+def _csv(spark, sf):
+    return t._once(spark, sf, "csv", lambda: sk.write_sensor_csv(_rec(spark, sf), shared_path(spark, "csv")))
+
+
+@query(
+    "s1_sensor_scan",
+    """SELECT 'r' || recording AS recording, sample_idx, t_s, accx / 50 + 5 AS ut1, ppg / 1000 + 900 AS ppg_green, accy * 10 - 0.5 AS accy, (rf <> 'N' OR ls = 'O') AS valid FROM sensor""",
+    ("sensor",),
+)
+def s1(spark, sf):
+    out = rec.scan_sensor(spark, _csv(spark, sf), ["ut1", "ppg_green", "accy"], fs=25)
+    return out.select("recording", "sample_idx", "t_s", "ut1", "ppg_green", "accy", "valid")
+
+
+def _polar(spark, sf):
+    named = t.ref_hr(spark, sf).select(_NAME, "t_s", "bpm")
+    return t._once(spark, sf, "polar", lambda: sk.write_polar(named, shared_path(spark, "polar")))
+
+
+@query("s3_polar_reference_scan", "SELECT 'r' || recording AS reference, t_s, bpm FROM ref_hr", ("ref_hr",))
+def s3(spark, sf):
+    return rec.scan_polar(spark, _polar(spark, sf)).select("reference", "t_s", "bpm")
+
+
+@query("s4_hr_reference_scan", "SELECT 'r' || recording AS reference, t_s, bpm FROM ref_hr", ("ref_hr",))
+def s4(spark, sf):
+    named = t.ref_hr(spark, sf).select(_NAME, "t_s", "bpm")
+    return rec.scan_hr_reference(spark, sk.write_hr_reference(named, shared_path(spark, "hrref")))
+
+
+_SUP_SQL = """f AS (SELECT 'rec' || s_suppkey AS stem FROM supplier UNION ALL SELECT 'rec' || s_suppkey || '_ref' FROM supplier WHERE s_nationkey % 2 = 0
+UNION ALL SELECT 'rec' || s_suppkey || '_HR_ref' FROM supplier WHERE s_nationkey % 3 = 0)"""
+
+
+@query(
+    "s5_recording_discovery",
+    f"""WITH {_SUP_SQL} SELECT s.stem, coalesce(a.stem, b.stem) AS reference FROM f s LEFT JOIN f a ON a.stem = s.stem || '_ref' LEFT JOIN f b ON b.stem = s.stem || '_HR_ref'
+WHERE s.stem NOT LIKE '%\\_ref' ESCAPE '\\'""",
+)
+def s5(spark, sf):
+    path = shared_path(spark, "files")
+    base = F.concat(F.lit("rec"), F.col("s_suppkey").cast("string"))
+    nation = F.col("s_nationkey")
+    names = F.array_compact(F.array(base, F.when(nation % 2 == 0, F.concat(base, F.lit("_ref"))), F.when(nation % 3 == 0, F.concat(base, F.lit("_HR_ref")))))
+    stems = t.table(spark, sf, "supplier").select(F.explode(names).alias("stem"))
+    stems.withColumn("x", F.lit("1")).repartitionByRange("stem").write.partitionBy("stem").csv(path)
+    return rec.discover(spark, path)
+
+
+@query(
+    "s6_quality_metadata",
+    """SELECT 'r' || recording AS recording, 'timeline_csv' AS kind, count(*) FILTER (WHERE rf <> 'N' OR ls = 'O') AS valid_count, count(*) FILTER (WHERE rf = 'N' AND ls <> 'O') AS missing_count,
+max(CASE WHEN rf = 'N' AND ls <> 'O' THEN 1.0 ELSE 0.0 END)::DOUBLE AS max_gap_samples FROM sensor GROUP BY 1""",
+    ("sensor",),
+)
+def s6(spark, sf):
+    return rec.quality_metadata(rec.scan_sensor(spark, _csv(spark, sf), ["ut1"], fs=25))
+
+
+@query("s7_quality_preview", "SELECT recording, count(*) AS rows, count(*) >= 250 AS complete FROM sensor WHERE sample_idx < 250 GROUP BY 1", ("sensor",))
+def s7(spark, sf):
+    return rec.preview(t.sensor(spark, sf), 10, 25)
+
+
+def _meta(spark, sf):
+    return t.hr_rows(spark, sf).groupBy("recording").agg(F.lit("lms").alias("adaptive_filter"), F.lit(5.0).alias("time_bias"), F.count("*").alias("n_windows"))
+
+
+@query(
+    "s8_single_path_report",
+    "SELECT recording, 'lms' AS adaptive_filter, 5.0::DOUBLE AS time_bias, count(*) AS n_windows, count(*) AS stored_windows, sum(motion)::BIGINT AS motion_windows FROM hr GROUP BY 1",
+    ("hr",),
+)
+def s8(spark, sf):
+    win = t.hr_rows(spark, sf).select("recording", "window_idx", "fft_bpm", "motion")
+    path = sk.write_report(shared_path(spark, "report"), _meta(spark, sf), {"window_table": win})
+    got = sk.read_report(spark, path, {"window_table": "recording bigint, window_idx bigint, fft_bpm double, motion int"})
+    per = got["window_table"].groupBy("recording").agg(F.count("*").alias("stored_windows"), F.sum("motion").alias("motion_windows"))
+    return got["metadata"].select("recording", "metadata.*").join(per, "recording")
+
+
+@query(
+    "s9_optimise_report",
+    "SELECT study AS recording, min(value) AS min_err_hf, max(value) AS min_err_acc, count(*) AS n FROM trials GROUP BY 1",
+    ("trials",),
+)
+def s9(spark, sf):
+    best = t.trials(spark, sf).groupBy(F.col("study").alias("recording")).agg(F.min("value").alias("min_err_hf"), F.max("value").alias("min_err_acc"), F.count("*").alias("n"))
+    path = sk.write_report(shared_path(spark, "optimise"), best, {}, "v1")
+    return sk.read_report(spark, path, {}, "v1")["metadata"].select("recording", "metadata.*").select("recording", "min_err_hf", "min_err_acc", "n")
+
+
+@query(
+    "s10_spo2_report",
+    "SELECT recording, count(*) AS windows, count(*) FILTER (WHERE accy * 40 > 0.05::DOUBLE AND accy * 40 < 3) AS beats FROM sensor GROUP BY 1",
+    ("sensor",),
+)
+def s10(spark, sf):
+    s = t.sensor(spark, sf)
+    beats = s.filter((F.col("accy") * 40 > 0.05) & (F.col("accy") * 40 < 3)).select("recording", F.col("sample_idx").alias("window_idx"), (F.col("accy") * 40).alias("r"))
+    spo2 = s.select("recording", F.col("sample_idx").alias("window_idx"), (F.col("accx") + 50).alias("spo2"))
+    meta = s.groupBy("recording").agg(F.lit(25).alias("fs"))
+    path = sk.write_report(shared_path(spark, "spo2"), meta, {"spo2_table": spo2, "beat_table": beats}, sk.SPO2_SCHEMA_VERSION, "parquet")
+    got = sk.read_report(spark, path, {"spo2_table": "recording bigint, window_idx bigint, spo2 double", "beat_table": "recording bigint, window_idx bigint, r double"}, sk.SPO2_SCHEMA_VERSION, "parquet")
+    a = got["spo2_table"].groupBy("recording").agg(F.count("*").alias("windows"))
+    b = got["beat_table"].groupBy("recording").agg(F.count("*").alias("beats"))
+    return a.join(b, "recording", "left").fillna(0, ["beats"])
+
+
+def _hz(spark, sf):
+    h = t.hr_rows(spark, sf)
+    z = lambda c: F.col(c) / 60
+    return h.select(
+        "recording", F.col("window_idx").cast("double").alias("t_s"), F.lit(5.0).alias("time_bias"), z("ref_bpm").alias("ref"), z("ref_bpm").alias("ref_aligned"), z("lms_hf_bpm").alias("lms_hf"),
+        z("lms_acc_bpm").alias("lms_acc"), z("fft_bpm").alias("fft"), z("fusion_hf_bpm").alias("fusion_hf"), z("fusion_acc_bpm").alias("fusion_acc"), "motion",
+    )
+
+
+@query(
+    "s11_hr_table_dual",
+    """SELECT 'HF_best' AS "case", recording, window_idx::DOUBLE AS t_center_s, window_idx + 5.0::DOUBLE AS t_pred_s, ref_bpm / 60 * 60 AS ref_hr_center_bpm, ref_bpm / 60 * 60 AS ref_hr_aligned_bpm, lms_hf_bpm / 60 * 60 AS lms_hf_bpm,
+lms_acc_bpm / 60 * 60 AS lms_acc_bpm, fft_bpm / 60 * 60 AS pure_fft_bpm, fusion_hf_bpm / 60 * 60 AS fusion_hf_bpm, fusion_acc_bpm / 60 * 60 AS fusion_acc_bpm, motion AS motion_acc, motion AS motion_hf FROM hr""",
+    ("hr",),
+)
+def s11(spark, sf):
+    df = sk.hr_table_dual(_hz(spark, sf), "HF_best")
+    return sk.read_csv(spark, sk.write_csv(df, shared_path(spark, "hr1")), df.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query(
+    "s12_hr_table_single",
+    "SELECT recording, window_idx + 5.0::DOUBLE AS time_s, ref_bpm, fft_bpm, fusion_hf_bpm AS final_bpm, motion AS is_motion, reliable AS used_adaptive FROM hr",
+    ("hr",),
+)
+def s12(spark, sf):
+    h = t.hr_rows(spark, sf).select("recording", F.col("window_idx").alias("t_s"), "ref_bpm", "fft_bpm", F.col("fusion_hf_bpm").alias("final_bpm"), F.col("motion").alias("is_motion"), F.col("reliable").alias("used_adaptive"))
+    df = sk.hr_table_single(h, 5.0)
+    return sk.read_csv(spark, sk.write_csv(df, shared_path(spark, "hr2")), df.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query(
+    "s13_hr_matrix",
+    """SELECT recording, window_idx::DOUBLE AS t_s, ref_bpm / 60 AS ref, lms_hf_bpm / 60 AS lms_hf, lms_acc_bpm / 60 AS lms_acc, fft_bpm / 60 AS fft, fusion_hf_bpm / 60 AS fusion_hf, fusion_acc_bpm / 60 AS fusion_acc,
+motion::DOUBLE AS motion_acc, motion::DOUBLE AS motion_hf FROM hr""",
+    ("hr",),
+)
+def s13(spark, sf):
+    df = sk.hr_matrix(_hz(spark, sf))
+    return sk.read_csv(spark, sk.write_csv(df, shared_path(spark, "matrix")), df.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query("s14_error_table", _A3.replace("SELECT recording, method,", "SELECT 'HF_best' AS \"case\", recording, method,").replace("GROUP BY 1, 2", "GROUP BY recording, method"), ("hr",))
+def s14(spark, sf):
+    df = sk.error_table(st.detailed_stats(t.hr_rows(spark, sf)), "HF_best")
+    got = sk.read_csv(spark, sk.write_csv(df, shared_path(spark, "errors")), df.schema.simpleString()[7:-1].replace(":", " "))
+    return got.select("case", "recording", "method", *[r(c).alias(c) for c in got.columns if c not in ("case", "recording", "method")])
+
+
+@query(
+    "s15_param_comparison",
+    """WITH b AS (SELECT study, min(value) FILTER (WHERE status = 'F') AS h, min(value) FILTER (WHERE status <> 'F') AS a, max(trial) FILTER (WHERE status = 'F')::DOUBLE AS ht, max(trial) FILTER (WHERE status <> 'F')::DOUBLE AS alast FROM trials GROUP BY 1)
+SELECT study, 'target_aae' AS metric, h AS hf_best_case, a AS acc_best_case FROM b UNION ALL SELECT study, 'last_trial', ht, alast FROM b""",
+    ("trials",),
+)
+def s15(spark, sf):
+    tr = t.trials(spark, sf).withColumn("case", F.when(F.col("status") == "F", "HF_best").otherwise("ACC_best"))
+    b = tr.groupBy("study", "case").agg(F.min("value").alias("target_aae"), F.max("trial").cast("double").alias("last_trial"))
+    df = sk.param_comparison(b, ["study"], "case", ["target_aae", "last_trial"])
+    return sk.read_csv(spark, sk.write_csv(df, shared_path(spark, "params")), df.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query(
+    "s16_batch_summary",
+    "SELECT o_orderstatus AS mode, o_custkey AS sample, count(*) AS runs, min(o_totalprice) AS best FROM orders GROUP BY 1, 2",
+)
+def s16(spark, sf):
+    o = t.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("mode"), F.col("o_custkey").alias("sample")).agg(F.count("*").alias("runs"), F.min("o_totalprice").alias("best"))
+    path = sk.write_csv(o, shared_path(spark, "summary"), ["mode"])
+    return spark.read.option("header", True).schema("sample bigint, runs bigint, best double, mode string").csv(path).select("mode", "sample", "runs", "best")
+
+
+@query("s17_trials_and_curves", "SELECT strategy, study, trial, value FROM trials", ("trials",))
+def s17(spark, sf):
+    path = sk.write_csv(t.trials(spark, sf).select("strategy", "study", "trial", "value"), shared_path(spark, "trials"), ["strategy"])
+    return spark.read.option("header", True).schema("study bigint, trial bigint, value double, strategy string").csv(path).select("strategy", "study", "trial", "value")
+
+
+@query(
+    "s18_best_params_corpus",
+    """SELECT 'multi_bobi' || s_suppkey AS stem, 'green' AS ppg_mode, 'lms' AS adaptive_filter, s_acctbal AS min_err_hf FROM supplier WHERE s_nationkey > 3""",
+)
+def s18(spark, sf):
+    path = shared_path(spark, "corpus")
+    p = t.table(spark, sf, "supplier").select(
+        F.concat(F.when(F.col("s_nationkey") <= 3, "other").otherwise("multi_bobi"), F.col("s_suppkey").cast("string"), F.lit("-green-lms-best_params.json")).alias("report"), F.col("s_acctbal").alias("min_err_hf"))
+    p.repartitionByRange("report").write.partitionBy("report").json(path)
+    return sk.scan_best_params(spark, path, "min_err_hf double")
+
+
+@query(
+    "s19_feature_table",
+    f"SELECT rf AS exercise, recording, sample_idx // 50 AS window_idx, count(*) AS n, {rq('avg(sqrt(accx*accx + accy*accy + accz*accz))')} AS acc_mag_mean FROM sensor GROUP BY 1, 2, 3",
+    ("sensor",),
+)
+def s19(spark, sf):
+    f = t.sensor(spark, sf).groupBy(F.col("rf").alias("exercise"), "recording", F.expr("sample_idx div 50").alias("window_idx")).agg(F.count("*").alias("n"), F.avg(MAG).alias("acc_mag_mean"))
+    path = shared_path(spark, "features")
+    f.write.partitionBy("exercise").parquet(path)
+    return spark.read.schema("recording bigint, window_idx bigint, n bigint, acc_mag_mean double, exercise string").parquet(path).withColumn("acc_mag_mean", r("acc_mag_mean"))

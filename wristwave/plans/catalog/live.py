@@ -1 +1,59 @@
+"""ST1-ST3: drained streams, compared with what the batch form gives for closed windows."""
 
+from pyspark.sql import functions as F
+
+from wristwave.operators import tracking as tr
+from wristwave.operators.windows import transition
+from wristwave.plans.catalog.ranking import KEYS, _ARR, _TRACK
+from wristwave.plans.catalog.sequences import MAG, MAG_SQL
+from wristwave.plans.registry import query, r, rq
+from wristwave.session import shared_path
+from wristwave.sources import tables as t
+from wristwave.streaming import live
+
+# closed windows: end <= last event time - 2 s
+_CLOSED = """lim AS (SELECT floor(max(t_s) * 1000) / 1000 - 2 AS wm FROM sensor),
+wk AS (SELECT s.*, unnest(range(floor(t_s)::BIGINT - 7, floor(t_s)::BIGINT + 1)) AS w0 FROM sensor s)"""
+
+
+def _stream(spark, sf):
+    src = live.with_event_time(t.sensor(spark, sf)).select("recording", "ts", "accx", "accy", "accz")
+    return live.file_stream(spark, src, shared_path(spark, "stream-in"))
+
+
+def _second(c):
+    return (F.unix_micros(c) - F.unix_micros(F.lit(live.EPOCH).cast("timestamp"))) / 1000000
+
+
+@query(
+    "st1_live_motion_score",
+    f"WITH {_CLOSED} SELECT recording, w0::DOUBLE AS start_s, {rq(f'stddev_samp({MAG_SQL})')} AS score, count(*) AS n FROM wk, lim WHERE w0 + 8 <= wm GROUP BY 1, 2",
+    ("sensor",),
+)
+def st1(spark, sf):
+    out = live.motion_scores(_stream(spark, sf), MAG)
+    got = spark.read.schema(out.schema).parquet(live.run_to_files(out, shared_path(spark, "st1")))
+    return got.select("recording", _second(F.col("window_start")).alias("start_s"), r("score").alias("score"), "n")
+
+
+@query(
+    "st2_live_window_quality",
+    f"WITH {_CLOSED} SELECT recording, w0::DOUBLE AS start_s, count(*) AS n, 200 - count(*) FILTER (WHERE accz <> 0) AS missing_count, (200 - count(*) FILTER (WHERE accz <> 0)) / 200.0::DOUBLE <= 0.20::DOUBLE AS reliable FROM wk, lim WHERE w0 + 8 <= wm GROUP BY 1, 2",
+    ("sensor",),
+)
+def st2(spark, sf):
+    out = live.window_quality(_stream(spark, sf), F.col("accz") != 0, 200)
+    got = spark.read.schema(out.schema).parquet(live.run_to_files(out, shared_path(spark, "st2")))
+    return got.select("recording", _second(F.col("window_start")).alias("start_s"), "n", "missing_count", "reliable")
+
+
+@query("st3_live_tracker", "WITH " + _TRACK.format(arr=_ARR, hr=rq("hr", 8)), ("peaks",))
+def st3(spark, sf):
+    src = tr.sorted_peaks(t.peaks(spark, sf), KEYS)
+    m = t.peaks(spark, sf).groupBy(*KEYS).agg(F.max((F.col("rf") == "R") & (F.col("peak_idx") == 0)).alias("m"))
+    s = transition(src.join(m, KEYS), F.col("m"))
+    s = s.select(*KEYS, "freqs", (F.col("enters") & (F.col("window_idx") > 0)).alias("reset"))
+    stream = live.file_stream(spark, s, shared_path(spark, "st3-in"))
+    out = live.tracker(stream, 25 / 60, 10.0, 7.0)
+    got = spark.read.schema(out.schema).parquet(live.run_to_files(out, shared_path(spark, "st3")))
+    return got.select(*KEYS, r("hr", 8).alias("hr"))

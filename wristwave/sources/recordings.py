@@ -38,8 +38,8 @@ def _file_rows(spark: SparkSession, path: str, options: dict) -> DataFrame:
     turned into offsets, so a huge file stays spread over its splits.
     """
     raw = (
-        spark.read.options(**options).text(path)
-        .select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
+        spark.read.options(recursiveFileLookup=True, **options).text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
         .withColumn("_seq", F.monotonically_increasing_id())
     )
     counts = raw.groupBy("file", "_at").agg(F.count("*").alias("_c"))
@@ -51,13 +51,16 @@ def _file_rows(spark: SparkSession, path: str, options: dict) -> DataFrame:
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
     """First line per file, from the first split only."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
+    rows = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
     rows = rows.filter("_at = 0").withColumn("_seq", F.monotonically_increasing_id())
     return rows.groupBy("file").agg(F.min_by("value", "_seq").alias("header"))
 
 
-def stem_of(file: Column) -> Column:
-    return F.regexp_replace(file, r"\.csv$", "")
+def stem_of(path: Column) -> Column:
+    """Recording name: a ``recording=`` / ``stem=`` folder if there is one, else the file name."""
+    folder = F.regexp_extract(path, r"(?:recording|stem)=([^/]+)/", 1)
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.csv$", "")
+    return F.when(folder != "", folder).otherwise(name)
 
 
 def scan_sensor(spark: SparkSession, path: str, columns: list[str] | None = None, fs: int = 100) -> DataFrame:
@@ -86,7 +89,8 @@ def scan_sensor(spark: SparkSession, path: str, columns: list[str] | None = None
     values = {c: numeric(cell(SENSOR_COLUMNS[c], True)) for c in cols}
     ok = valid_mask([cell(SENSOR_COLUMNS[c]) for c in cols])
     ok = ok & (~has_flag | F.coalesce(numeric(cell("ValidFlag")) > 0, F.lit(False)))
-    idx = (F.col("line") - 1).cast("bigint")
+    # a stored index lets a recording span several files; otherwise the row's place in its file
+    idx = F.coalesce(numeric(cell("SampleIndex")), F.col("line") - 1).cast("bigint")
     return rows.select(
         stem_of(F.col("file")).alias("recording"), idx.alias("sample_idx"),
         F.coalesce(numeric(cell("Time(s)")), idx / fs).alias("t_s"),
@@ -107,12 +111,12 @@ def scan_polar(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_hr_reference(spark: SparkSession, path: str) -> DataFrame:
     """``elapsed_seconds, hr_bpm`` files with a header."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     missing = [c for c in ("elapsed_seconds", "hr_bpm") if c not in raw.columns]
     if missing:
         raise ValueError(f"reference files lack {missing}; found {raw.columns}")
     out = raw.select(
-        stem_of(F.col("_metadata.file_name")).alias("reference"), numeric(F.col("elapsed_seconds")).alias("t_s"), numeric(F.col("hr_bpm")).alias("bpm")
+        stem_of(F.col("_metadata.file_path")).alias("reference"), numeric(F.col("elapsed_seconds")).alias("t_s"), numeric(F.col("hr_bpm")).alias("bpm")
     )
     return out.filter("t_s is not null and bpm is not null")
 
@@ -120,8 +124,7 @@ def scan_hr_reference(spark: SparkSession, path: str) -> DataFrame:
 def discover(spark: SparkSession, path: str, suffixes: list[str] = ("_ref", "_HR_ref")) -> DataFrame:
     """S5 + J1: recordings in a folder with their reference stem (NULL when none exists)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
-    stems = files.select(stem_of(F.element_at(F.split("path", "/"), -1)).alias("stem"))
-    return pair_references(stems, suffixes)
+    return pair_references(files.select(stem_of(F.col("path")).alias("stem")).distinct(), suffixes)
 
 
 def quality_metadata(samples: DataFrame) -> DataFrame:
