@@ -315,24 +315,45 @@ def adaptive(kind, u, d, m, k, mu_base, corr, options):
 
 
 def amplitude_preserving(d, u, order, mu):
-    """Normalised LMS around the median, keeping level and amplitude of ``d``."""
+    """Normalised LMS around the median, keeping level and amplitude of ``d``; ``order`` per row.
+
+    Rows with different orders share one loop: taps beyond a row's order are masked and its
+    updates start when its tap vector is full. Order 0 leaves a row unchanged.
+    """
     base = np.median(d, axis=1, keepdims=True)
     centred = d - base
     uc = u - u.mean(axis=1, keepdims=True)
     sd = uc.std(axis=1, ddof=1, keepdims=True)
-    live = (sd[:, 0] > 1e-12) & np.isfinite(sd[:, 0])
-    x = _taps(uc / np.where(sd > 1e-12, sd, 1.0), order, 0)
-    out, w = centred.copy(), np.zeros((len(d), order))
-    for i in range(x.shape[1]):
-        xi = x[:, i]
-        err = centred[:, i + order - 1] - (w * xi).sum(axis=1)
-        out[:, i + order - 1] = err
+    live = (sd[:, 0] > 1e-12) & np.isfinite(sd[:, 0]) & (order > 0) & (d.shape[1] >= order + 1)
+    top = max(int(order.max()), 1)
+    norm = np.pad(uc / np.where(sd > 1e-12, sd, 1.0), ((0, 0), (top - 1, 0)))
+    mask = np.arange(top)[None, :] < order[:, None]
+    x = _taps(norm, top, 0)
+    out, w = centred.copy(), np.zeros((len(d), top))
+    for i in range(d.shape[1]):
+        on = i >= order - 1
+        xi = x[:, i] * mask
+        err = np.where(on, centred[:, i] - (w * xi).sum(axis=1), 0.0)
+        out[:, i] = np.where(on, err, out[:, i])
         w += (2 * mu * err / (1e-9 + (xi * xi).sum(axis=1)))[:, None] * xi
     clean = out + base
     clean += np.median(d, axis=1, keepdims=True) - np.median(clean, axis=1, keepdims=True)
     return np.where(live[:, None], clean, d)
 
 
+def band_candidates(amp, step, motion, low, high, percent, weight, width):
+    """Peaks of ready spectra inside (low, high) Hz, penalised around the motion frequency first."""
+    freq = step * np.arange(amp.shape[1])
+    near = (np.abs(freq - motion[:, None]) < width) | (np.abs(freq - 2 * motion[:, None]) < width)
+    amp = np.where(near, amp * weight, amp)
+    band = np.flatnonzero((freq > low) & (freq < high))
+    a = amp[:, band]
+    top = np.zeros(a.shape, bool)
+    top[:, 1:-1] = (a[:, 1:-1] > a[:, :-2]) & (a[:, 1:-1] > a[:, 2:])
+    top &= a > np.where(top, a, 0.0).max(axis=1, keepdims=True) * percent
+    return [freq[band[k]][np.argsort(-v[k], kind="stable")] for v, k in zip(a, top)]
+
+
 # ---------------------------------------------------------------- beats
 def local_maxima(x: np.ndarray, distance: int) -> np.ndarray:
     """Peaks of one short window at least ``distance`` apart, higher ones first; plateaus at their middle."""

@@ -292,18 +292,18 @@ def clean_red_ir(mu_base: float = 0.01, mu_min: float = 1e-6):
     @F.pandas_udf("red array<double>, ir array<double>")
     def run(red: pd.Series, ir: pd.Series, refs: pd.Series, corr: pd.Series, orders: pd.Series) -> pd.DataFrame:
         r, q = [None] * len(red), [None] * len(red)
-        groups = defaultdict(list)
-        for i, (x, oo) in enumerate(zip(red, orders)):
-            if x is not None:
-                groups[(len(x), tuple(int(v) for v in oo))].append(i)
-        for (n, oo), rows in groups.items():
+        for (n, m), rows in _by_shape(red, ir).items():
+            if n <= 0:
+                continue
             both = np.concatenate([_stack(red, rows), _stack(ir, rows)])
-            for j, o in enumerate(oo):
-                u = np.stack([np.asarray(refs.iloc[i][j], dtype=float) for i in rows])
-                c = np.array([abs(float(corr.iloc[i][j])) for i in rows])
+            for j in range(max((len(orders.iloc[i]) for i in rows), default=0)):
+                has = [j < len(orders.iloc[i]) for i in rows]
+                o = np.array([int(orders.iloc[i][j]) if h else 0 for i, h in zip(rows, has)])
+                c = np.array([abs(float(corr.iloc[i][j])) if h else 0.0 for i, h in zip(rows, has)])
+                u = np.stack([np.asarray(refs.iloc[i][j], dtype=float) if h else np.zeros(n) for i, h in zip(rows, has)])
                 c = np.where(c > 1.0, c / 100.0, c)
                 mu = np.maximum(mu_min, mu_base - c / 100.0)
-                both = kn.amplitude_preserving(both, np.concatenate([u, u]), o, np.concatenate([mu, mu]))
+                both = kn.amplitude_preserving(both, np.concatenate([u, u]), np.concatenate([o, o]), np.concatenate([mu, mu]))
             for pos, i in enumerate(rows):
                 r[i], q[i] = both[pos], both[len(rows) + pos]
         return pd.DataFrame({"red": r, "ir": q})
@@ -453,6 +453,22 @@ def fuse_spectra(df: DataFrame, bins: list[str], weights: list[Column], keys: li
     return df.withColumn("fused", F.transform(z, one))
 
 
+def band_candidates(step: float, low: float = 1.0, high: float = 4.0, percent: float = 0.3, weight=0.2, width=0.2):
+    """G23 front for long spectra: (amplitudes, motion frequency) -> candidate frequencies."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, motion: pd.Series) -> pd.Series:
+        out = [[] for _ in range(len(x))]
+        mf = motion.fillna(-1e9).to_numpy(float)
+        for (n,), rows in _by_shape(x).items():
+            if n > 0:
+                for i, f in zip(rows, kn.band_candidates(_stack(x, rows), step, mf[rows], low, high, percent, weight, width)):
+                    out[i] = f
+        return pd.Series(out)
+
+    return run
+
+
 def band_peaks(
     df: DataFrame, amps: str, out: str, freq_step: float, low: float = 1.0, high: float = 4.0, percent: float = 0.3,
     motion_hz: str | None = None, weight=0.2, width=0.2,

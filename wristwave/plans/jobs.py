@@ -609,9 +609,8 @@ def expert_spectrum_fusion(samples: DataFrame, shares: DataFrame, experts: dict[
     ref_peak = sg.peak_frequencies(base.fs_target, penalise=False)(F.get(f"st_{next(iter(experts))}.signal", F.lit(0)), F.lit(None).cast("array<double>"))
     out = out.withColumn("_mf", F.get(ref_peak, F.lit(0)))
     hz = base.fs_target / nfft
-    out = out.withColumn("_low", F.when(F.col("motion"), F.slice("fused", 1, int(4.2 / hz))))
-    out = sg.band_peaks(out, "_low", "f_hf", hz, motion_hz="_mf", weight=base.penalty_weight, width=base.penalty_width)
-    out = out.withColumn("f_hf", F.coalesce("f_hf", F.array().cast("array<double>")))
+    mixed = F.when(F.col("motion"), F.col("fused"))
+    out = out.withColumn("f_hf", sg.band_candidates(hz, weight=base.penalty_weight, width=base.penalty_width)(mixed, "_mf"))
     out = out.withColumn("f_fft", fft_candidates(out, win, base))
     table = out.select("recording", "window_idx", "motion", "f_fft", "f_hf")
     tr = track_paths(table, keys, ["hf"], "motion", tracking_columns(base))
