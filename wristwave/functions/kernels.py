@@ -50,17 +50,38 @@ def _run_filter(b, a, x, start):
     return y
 
 
-def zero_phase(x: np.ndarray, b, a) -> np.ndarray:
-    """Forward-backward filter of every row with odd reflection of 3 * filter length at both ends."""
+def _stack_ragged(rows) -> np.ndarray:
+    out = np.zeros((max(len(r) for r in rows), len(rows)))
+    for i, r in enumerate(rows):
+        out[: len(r), i] = r
+    return out
+
+
+def zero_phase_rows(rows: list, b, a) -> list:
+    """Forward-backward filter of signals of any lengths in one time loop.
+
+    Each signal is extended by odd reflection of 3 * filter length. The recursion is causal, so
+    zeros behind a shorter signal cannot reach it; for the backward run every signal is
+    reversed to start at step 0 again. Too short signals only lose their mean.
+    """
     pad = 3 * max(len(a), len(b))
-    if x.shape[1] <= pad:
-        return x - x.mean(axis=1, keepdims=True)
-    head = 2 * x[:, :1] - x[:, pad:0:-1]
-    tail = 2 * x[:, -1:] - x[:, -2:-pad - 2:-1]
-    ext = np.ascontiguousarray(np.hstack([head, x, tail]).T)
-    fwd = _run_filter(b, a, ext, ext[0])[::-1]
-    back = _run_filter(b, a, fwd, fwd[0])[::-1]
-    return back[pad:-pad].T
+    out = [r - r.mean() if len(r) else r for r in rows]
+    long = [i for i, r in enumerate(rows) if len(r) > pad]
+    if not long:
+        return out
+    ext = [np.concatenate([2 * rows[i][0] - rows[i][pad:0:-1], rows[i], 2 * rows[i][-1] - rows[i][-2:-pad - 2:-1]]) for i in long]
+    x = _stack_ragged(ext)
+    fwd = _run_filter(b, a, x, x[0])
+    x = _stack_ragged([fwd[: len(e), k][::-1] for k, e in enumerate(ext)])
+    back = _run_filter(b, a, x, x[0])
+    for k, i in enumerate(long):
+        n = len(rows[i]) + 2 * pad
+        out[i] = back[:n, k][::-1][pad:n - pad]
+    return out
+
+
+def zero_phase(x: np.ndarray, b, a) -> np.ndarray:
+    return np.stack(zero_phase_rows(list(x), b, a))
 
 
 @lru_cache(maxsize=16)

@@ -122,27 +122,23 @@ def carried(
     base = df.withColumns({"_chunk": chunk, **temps})
     order = F.struct(*order_cols) if len(order_cols) > 1 else F.col(order_cols[0])
 
+    # Backward values run over a descending order: a frame that starts at the current row would be
+    # re-aggregated for every row.
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order_cols)
     across = W.partitionBy(*keys).orderBy("_chunk")
+    inside_back = W.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order_cols])
+    across_back = W.partitionBy(*keys).orderBy(F.col("_chunk").desc())
     chunk_aggs, carries, within = [], {}, {}
     for i, s in enumerate(specs):
         x = F.col(f"_x{i}")
         back = s.kind == "first"
-        edge = (1 if back else -1) if s.exclusive else 0
-        frame = (
-            inside.rowsBetween(edge, W.unboundedFollowing)
-            if back
-            else inside.rowsBetween(W.unboundedPreceding, edge)
-        )
-        outer = (
-            across.rowsBetween(1, W.unboundedFollowing)
-            if back
-            else across.rowsBetween(W.unboundedPreceding, -1)
-        )
+        edge = -1 if s.exclusive else 0
+        frame = (inside_back if back else inside).rowsBetween(W.unboundedPreceding, edge)
+        outer = (across_back if back else across).rowsBetween(W.unboundedPreceding, -1)
         valid_order = F.when(x.isNotNull(), order)
         agg, local, carry = {
             "last": (F.max_by(x, valid_order), F.last(x, True), F.last(f"_a{i}", True)),
-            "first": (F.min_by(x, valid_order), F.first(x, True), F.first(f"_a{i}", True)),
+            "first": (F.min_by(x, valid_order), F.last(x, True), F.last(f"_a{i}", True)),
             "min": (F.min(x), F.min(x), F.min(f"_a{i}")),
             "max": (F.max(x), F.max(x), F.max(f"_a{i}")),
             "sum": (F.sum(x), F.sum(x), F.sum(f"_a{i}")),
@@ -275,10 +271,11 @@ def exact_percentiles(
         "_mn", "_mx",
     ).select(
         *k, "n", "_j", F.col("_b.p").alias("_p"),
-        F.when(F.col("_b.p") <= slack, F.col("_mn")).otherwise(F.col("_b.lo")).alias("_from"),
-        F.when(F.col("_b.p") >= 1 - slack, F.col("_mx")).otherwise(F.col("_b.hi")).alias("_to"),
+        # up to ``accuracy`` rows a group is ranked whole; beyond, the slack spans four ranks or more
+        F.when((F.col("n") <= accuracy) | (F.col("_b.p") <= slack), F.col("_mn")).otherwise(F.col("_b.lo")).alias("_from"),
+        F.when((F.col("n") <= accuracy) | (F.col("_b.p") >= 1 - slack), F.col("_mx")).otherwise(F.col("_b.hi")).alias("_to"),
     )
-    counts = data.groupBy(*k, "_v").agg(F.count("*").alias("_c")) if keys else data.groupBy("_all", "_v").agg(F.count("*").alias("_c"))
+    counts = data.groupBy(*k, "_v").agg(F.count("*").alias("_c"))
     placed = counts.join(brackets, k)
     below = placed.groupBy(*k, "_j").agg(
         F.sum(F.when(F.col("_v") < F.col("_from"), F.col("_c")).otherwise(0)).alias("_below")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from typing import Callable
 
+from wristwave.session import ship
 from wristwave.sources.tables import sql
 
 QUERIES: dict[str, Callable] = {}
@@ -14,7 +16,12 @@ def query(name: str, oracle: str | None = None, uses: tuple[str, ...] = ()):
     """Register ``fn(spark, sf_dir) -> DataFrame`` with an optional DuckDB twin."""
 
     def wrap(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf):
+            ship(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = sql(oracle, *uses)
         return fn

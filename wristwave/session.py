@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benches."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("wristwave")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -23,6 +25,25 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wristwave_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-wristwave-pkg-"), "wristwave.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("wristwave", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._wristwave_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
