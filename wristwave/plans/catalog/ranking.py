@@ -19,9 +19,6 @@ def o1(spark, sf):
     return s.select(*KEYS, F.array_join(F.transform("freqs", lambda f: F.bround(f * 1000).cast("bigint")), ",").alias("freqs"))
 
 
-_PREV = "2.0::DOUBLE"
-
-
 @query("o2_near_previous_top_five", f"WITH {_ARR} SELECT recording, window_idx, coalesce(list_filter(f[1:5], lambda v: v - 2.0 < 0.25 AND v - 2.0 > -0.25)[1], 2.0)::DOUBLE AS hr FROM pk", ("peaks",))
 def o2(spark, sf):
     s = tr.sorted_peaks(t.peaks(spark, sf), KEYS)
