@@ -7,7 +7,11 @@ from wristwave.operators.chunked import exact_percentiles
 from wristwave.plans.registry import query, r, rq
 from wristwave.sources import tables as t
 
-GAPPY = F.when(F.col("rf") != "R", F.col("ppg"))
+
+def gappy():
+    return F.when(F.col("rf") != "R", F.col("ppg"))
+
+
 _IDS = ["recording", "sample_idx"]
 
 _NEAR_CTE = """n AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN sample_idx END IGNORE NULLS) OVER p AS pi,
@@ -23,13 +27,13 @@ _LINEAR = "CASE WHEN x IS NOT NULL THEN x ELSE pv + (nv - pv) * ((sample_idx - p
 
 @query("c1_fill_nearest", f"WITH {_NEAR} SELECT recording, sample_idx, {_NEAREST} AS value FROM n", ("sensor",))
 def c1(spark, sf):
-    out = clean.fill_nearest(t.sensor(spark, sf), {"value": GAPPY})
+    out = clean.fill_nearest(t.sensor(spark, sf), {"value": gappy()})
     return out.select(*_IDS, "value")
 
 
 @query("c2_fill_linear", f"WITH {_NEAR} SELECT recording, sample_idx, {_LINEAR} AS value FROM n", ("sensor",))
 def c2(spark, sf):
-    out = clean.fill_linear(t.sensor(spark, sf), {"value": GAPPY})
+    out = clean.fill_linear(t.sensor(spark, sf), {"value": gappy()})
     return out.select(*_IDS, "value")
 
 
@@ -88,7 +92,10 @@ def c5(spark, sf):
     return clean.clean_signal(src, ["ppg"], fs=25).select(*_IDS, r("ppg").alias("ppg"))
 
 
-_TEXT = F.when(F.col("rf") == "N", F.lit("n/a")).when(F.col("accz") == 0, F.lit("Infinity")).otherwise(F.col("accx").cast("string"))
+def _text():
+    return F.when(F.col("rf") == "N", F.lit("n/a")).when(F.col("accz") == 0, F.lit("Infinity")).otherwise(F.col("accx").cast("string"))
+
+
 _TEXT_SQL = "g AS (SELECT *, CASE WHEN rf = 'N' OR accz = 0 THEN NULL ELSE accx END AS x FROM sensor)"
 
 
@@ -98,7 +105,7 @@ _TEXT_SQL = "g AS (SELECT *, CASE WHEN rf = 'N' OR accz = 0 THEN NULL ELSE accx
     ("sensor",),
 )
 def c6(spark, sf):
-    return clean.clean_numeric(t.sensor(spark, sf), {"value": _TEXT}).select(*_IDS, "value")
+    return clean.clean_numeric(t.sensor(spark, sf), {"value": _text()}).select(*_IDS, "value")
 
 
 @query(
@@ -135,7 +142,7 @@ WINDOW w AS (PARTITION BY recording ORDER BY sample_idx ROWS BETWEEN UNBOUNDED P
     ("sensor",),
 )
 def c9(spark, sf):
-    src = t.sensor(spark, sf).withColumn("spo2", GAPPY)
+    src = t.sensor(spark, sf).withColumn("spo2", gappy())
     return clean.carry_forward(src, ["spo2"]).select(*_IDS, "spo2", "spo2_carried")
 
 
@@ -146,7 +153,7 @@ SELECT recording, sample_idx, coalesce(x, (SELECT quantile_cont(x, 0.5) FROM g),
     ("sensor",),
 )
 def c10(spark, sf):
-    src = t.sensor(spark, sf).withColumn("ppg", GAPPY)
+    src = t.sensor(spark, sf).withColumn("ppg", gappy())
     return clean.impute_median(src, ["ppg"]).select(*_IDS, "ppg")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wristwave.operators import stats as st
-from wristwave.plans.catalog.sequences import MAG
+from wristwave.plans.catalog.sequences import mag
 from wristwave.plans.catalog.statistics import _A3
 from wristwave.plans.registry import query, r, rq
 from wristwave.session import shared_path
@@ -11,12 +11,14 @@ from wristwave.sources import recordings as rec
 from wristwave.sources import sinks as sk
 from wristwave.sources import tables as t
 
-_NAME = F.concat(F.lit("r"), F.col("recording").cast("string")).alias("recording")
+
+def _name():
+    return F.concat(F.lit("r"), F.col("recording").cast("string")).alias("recording")
 
 
 def _rec(spark, sf):
     s = rec.from_sensor(spark, sf)
-    return s.select(_NAME, *[c for c in s.columns if c != "recording"])
+    return s.select(_name(), *[c for c in s.columns if c != "recording"])
 
 
 def _csv(spark, sf):
@@ -34,7 +36,7 @@ def s1(spark, sf):
 
 
 def _polar(spark, sf):
-    named = t.ref_hr(spark, sf).select(_NAME, "t_s", "bpm")
+    named = t.ref_hr(spark, sf).select(_name(), "t_s", "bpm")
     return t._once(spark, sf, "polar", lambda: sk.write_polar(named, shared_path(spark, "polar")))
 
 
@@ -45,7 +47,7 @@ def s3(spark, sf):
 
 @query("s4_hr_reference_scan", "SELECT 'r' || recording AS reference, t_s, bpm FROM ref_hr", ("ref_hr",))
 def s4(spark, sf):
-    named = t.ref_hr(spark, sf).select(_NAME, "t_s", "bpm")
+    named = t.ref_hr(spark, sf).select(_name(), "t_s", "bpm")
     return rec.scan_hr_reference(spark, sk.write_hr_reference(named, shared_path(spark, "hrref")))
 
 
@@ -224,7 +226,7 @@ def s18(spark, sf):
     ("sensor",),
 )
 def s19(spark, sf):
-    f = t.sensor(spark, sf).groupBy(F.col("rf").alias("exercise"), "recording", F.expr("sample_idx div 50").alias("window_idx")).agg(F.count("*").alias("n"), F.avg(MAG).alias("acc_mag_mean"))
+    f = t.sensor(spark, sf).groupBy(F.col("rf").alias("exercise"), "recording", F.expr("sample_idx div 50").alias("window_idx")).agg(F.count("*").alias("n"), F.avg(mag()).alias("acc_mag_mean"))
     path = shared_path(spark, "features")
     f.write.partitionBy("exercise").parquet(path)
     return spark.read.schema("recording bigint, window_idx bigint, n bigint, acc_mag_mean double, exercise string").parquet(path).withColumn("acc_mag_mean", r("acc_mag_mean"))

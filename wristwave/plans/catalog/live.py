@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wristwave.operators import tracking as tr
 from wristwave.operators.windows import transition
 from wristwave.plans.catalog.ranking import KEYS, _ARR, _TRACK
-from wristwave.plans.catalog.sequences import MAG, MAG_SQL
+from wristwave.plans.catalog.sequences import mag, MAG_SQL
 from wristwave.plans.registry import query, r, rq
 from wristwave.session import shared_path
 from wristwave.sources import tables as t
@@ -31,7 +31,7 @@ def _second(c):
     ("sensor",),
 )
 def st1(spark, sf):
-    out = live.motion_scores(_stream(spark, sf), MAG)
+    out = live.motion_scores(_stream(spark, sf), mag())
     got = spark.read.schema(out.schema).parquet(live.run_to_files(out, shared_path(spark, "st1")))
     return got.select("recording", _second(F.col("window_start")).alias("start_s"), r("score").alias("score"), "n")
 

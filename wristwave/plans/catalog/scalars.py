@@ -162,7 +162,8 @@ def p17(spark, sf):
     )
 
 
-_DELAY = (F.col("accx").cast("int") - 25)
+def _delay():
+    return F.col("accx").cast("int") - 25
 
 
 @query(
@@ -173,7 +174,7 @@ least(16, greatest(1, CASE WHEN d < 0 THEN floor(abs(d) * 1.5)::INT ELSE 1 END))
     ("sensor",),
 )
 def p18(spark, sf):
-    return t.sensor(spark, sf).select(*_IDS, sc.taps_from_delay(_DELAY, 16).alias("m_hf"), sc.taps_from_delay(_DELAY, 16, 1.5).alias("m_acc"))
+    return t.sensor(spark, sf).select(*_IDS, sc.taps_from_delay(_delay(), 16).alias("m_hf"), sc.taps_from_delay(_delay(), 16, 1.5).alias("m_acc"))
 
 
 @query(
@@ -184,19 +185,22 @@ CASE WHEN d > 0 THEN 'causal' WHEN d < 0 THEN 'noncausal' ELSE 'zero_delay' END
     ("sensor",),
 )
 def p19(spark, sf):
-    return t.sensor(spark, sf).select(*_IDS, sc.delay_design(_DELAY, 16, k_max=12).alias("d")).select(*_IDS, "d.m", "d.k", "d.mode")
+    return t.sensor(spark, sf).select(*_IDS, sc.delay_design(_delay(), 16, k_max=12).alias("d")).select(*_IDS, "d.m", "d.k", "d.mode")
 
 
 @query("p20_order_from_delay", "SELECT recording, sample_idx, greatest(1, least(20, abs(accx::INT - 25))) AS taps FROM sensor", ("sensor",))
 def p20(spark, sf):
-    return t.sensor(spark, sf).select(*_IDS, sc.order_from_delay(_DELAY, 1, 20).alias("taps"))
+    return t.sensor(spark, sf).select(*_IDS, sc.order_from_delay(_delay(), 1, 20).alias("taps"))
+
+
+def _names():
+    return F.concat(
+        F.lit("multi_"),
+        F.create_map(*[F.lit(x) for kv in [("SMALL", "tiaosheng"), ("MEDIUM", "wanju"), ("LARGE", "fuwo"), ("PROMO", "kaihe"), ("ECONOMY", "bobi"), ("STANDARD", "unknown")] for x in kv])[F.col("p_type")],
+        F.col("p_size").cast("string"),
+    )
 
 
-_NAMES = F.concat(
-    F.lit("multi_"),
-    F.create_map(*[F.lit(x) for kv in [("SMALL", "tiaosheng"), ("MEDIUM", "wanju"), ("LARGE", "fuwo"), ("PROMO", "kaihe"), ("ECONOMY", "bobi"), ("STANDARD", "unknown")] for x in kv])[F.col("p_type")],
-    F.col("p_size").cast("string"),
-)
 _NAMES_SQL = """'multi_' || CASE p_type WHEN 'SMALL' THEN 'tiaosheng' WHEN 'MEDIUM' THEN 'wanju' WHEN 'LARGE' THEN 'fuwo'
 WHEN 'PROMO' THEN 'kaihe' WHEN 'ECONOMY' THEN 'bobi' ELSE 'unknown' END || p_size"""
 
@@ -212,7 +216,7 @@ def exercise_dim(spark):
 SELECT p_partkey, name, exercise, complexity FROM n JOIN d ON regexp_extract(name, 'multi_([a-z]+)', 1) = prefix""",
 )
 def p21(spark, sf):
-    names = t.table(spark, sf, "part").select("p_partkey", _NAMES.alias("name"))
+    names = t.table(spark, sf, "part").select("p_partkey", _names().alias("name"))
     dim = F.broadcast(exercise_dim(spark))  # five fixed rows
     return names.withColumn("prefix", sc.exercise_prefix(F.col("name"))).join(dim, "prefix").drop("prefix")
 
@@ -241,11 +245,14 @@ def p23(spark, sf):
     return p.select("p_partkey", sc.safe_prefix(F.col("p_name"), F.col("p_brand"), F.lower("p_type"), F.lit(".")).alias("prefix"))
 
 
-_REPORTS = F.concat(
-    F.when(F.col("p_size") % 2 == 0, "Best_Params_Result_").otherwise(""), F.regexp_replace("p_name", " ", "_"),
-    F.when(F.col("p_size") % 3 == 0, "-green").otherwise(""), F.when(F.col("p_size") % 5 == 0, "-lms").otherwise("-x"),
-    F.when(F.col("p_size") % 7 == 0, "-full").otherwise(""), F.when(F.col("p_size") % 4 == 0, "-best_params").otherwise(""),
-)
+def _reports():
+    return F.concat(
+        F.when(F.col("p_size") % 2 == 0, "Best_Params_Result_").otherwise(""), F.regexp_replace("p_name", " ", "_"),
+        F.when(F.col("p_size") % 3 == 0, "-green").otherwise(""), F.when(F.col("p_size") % 5 == 0, "-lms").otherwise("-x"),
+        F.when(F.col("p_size") % 7 == 0, "-full").otherwise(""), F.when(F.col("p_size") % 4 == 0, "-best_params").otherwise(""),
+    )
+
+
 _REPORTS_SQL = """CASE WHEN p_size % 2 = 0 THEN 'Best_Params_Result_' ELSE '' END || replace(p_name, ' ', '_') ||
 CASE WHEN p_size % 3 = 0 THEN '-green' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN '-lms' ELSE '-x' END ||
 CASE WHEN p_size % 7 = 0 THEN '-full' ELSE '' END || CASE WHEN p_size % 4 = 0 THEN '-best_params' ELSE '' END"""
@@ -261,7 +268,7 @@ cands AS (SELECT p_partkey, cand, row_number() OVER (PARTITION BY p_partkey ORDE
 
 
 def report_stems(spark, sf):
-    p = t.table(spark, sf, "part").select("p_partkey", "p_size", _REPORTS.alias("report"))
+    p = t.table(spark, sf, "part").select("p_partkey", "p_size", _reports().alias("report"))
     return p.select("p_partkey", "p_size", "report", F.posexplode(sc.candidate_stems(F.col("report"))).alias("pos", "cand"))
 
 

@@ -9,7 +9,12 @@ from wristwave.plans.registry import query, r, rq
 from wristwave.sources import tables as t
 
 WIN, STEP, FS = 200, 25, t.FS
-MAG = F.sqrt(F.col("accx") * F.col("accx") + F.col("accy") * F.col("accy") + F.col("accz") * F.col("accz"))
+
+
+def mag():
+    return F.sqrt(F.col("accx") * F.col("accx") + F.col("accy") * F.col("accy") + F.col("accz") * F.col("accz"))
+
+
 MAG_SQL = "sqrt(accx*accx + accy*accy + accz*accz)"
 
 
@@ -65,7 +70,7 @@ def feature_moments(s):
     """Head of 1 s and tail of 10 s dropped before windowing."""
     lengths = s.groupBy("recording").agg((F.max("sample_idx") + 1).alias("_n"))
     body = join_group(s, lengths, ["recording"], chunk_col("sample_idx", CHUNK)).filter(F.col("sample_idx") < F.col("_n") - 250)
-    return w.window_moments(body, {"x": F.col("accx"), "mag": MAG}, WIN, STEP, 25)
+    return w.window_moments(body, {"x": F.col("accx"), "mag": mag()}, WIN, STEP, 25)
 
 
 @query(
@@ -98,11 +103,11 @@ FROM (SELECT recording, count(*) AS windows, count(*) FILTER (WHERE motion) AS m
     ("sensor",),
 )
 def motion_segment(spark, sf):
-    return w.motion_segment(t.sensor(spark, sf), MAG, WIN, STEP, calib=100, scale=1.0, fs=FS)
+    return w.motion_segment(t.sensor(spark, sf), mag(), WIN, STEP, calib=100, scale=1.0, fs=FS)
 
 
 def flags_v1(spark, sf):
-    return w.motion_flags(t.sensor(spark, sf), MAG, WIN, STEP, calib=100, scale=1.0)
+    return w.motion_flags(t.sensor(spark, sf), mag(), WIN, STEP, calib=100, scale=1.0)
 
 
 @query("w5_motion_flag_baseline", f"WITH {_FLAGS1} SELECT recording, window_idx, {rq('std')} AS std, {rq('threshold')} AS threshold, motion FROM flags", ("sensor",))
@@ -112,7 +117,7 @@ def w5(spark, sf):
 
 @query("w6_motion_flag_relative", f"WITH {_FLAGS('greatest(b * 0.9::DOUBLE, mx * 0.97::DOUBLE)')} SELECT recording, window_idx, motion FROM flags", ("sensor",))
 def w6(spark, sf):
-    f = w.motion_flags(t.sensor(spark, sf), MAG, WIN, STEP, calib=100, scale=0.9, relative_floor=0.97)
+    f = w.motion_flags(t.sensor(spark, sf), mag(), WIN, STEP, calib=100, scale=0.9, relative_floor=0.97)
     return f.select("recording", "window_idx", "motion")
 
 
@@ -125,7 +130,7 @@ FROM wins x JOIN sensor y ON x.recording = y.recording AND y.sample_idx >= s AND
     ("sensor",),
 )
 def w7(spark, sf):
-    f = w.motion_flags_two(t.sensor(spark, sf), MAG, F.col("ppg"), WIN, STEP, calib=100, scale=1.02)
+    f = w.motion_flags_two(t.sensor(spark, sf), mag(), F.col("ppg"), WIN, STEP, calib=100, scale=1.02)
     return f.select("recording", "window_idx", r("ratio").alias("ratio"), "motion")
 
 
@@ -312,12 +317,13 @@ def w24(spark, sf):
     return w.overlap_add(wins, s, "ppg", "clean").select("recording", "sample_idx", r("clean", 3).alias("clean"))
 
 
-_SPO2 = {
-    "motion_score": F.col("accy"), "raw_spo2": F.col("accx") + 50, "adaptive_spo2": F.col("accx") + 49, "raw_r_median": F.col("accz"),
-    "adaptive_r_median": F.col("accz") + 1, "raw_valid_beat_count": (F.col("accx") % 3).cast("int"), "adaptive_valid_beat_count": (F.col("accx") % 5).cast("int"),
-    "raw_carried_forward": F.col("rf") == "R", "adaptive_carried_forward": F.col("rf") == "A", "missing_ratio": F.col("accz") * 4,
-    "reliable": F.col("ls") == "F",
-}
+def _spo2():
+    return {
+        "motion_score": F.col("accy"), "raw_spo2": F.col("accx") + 50, "adaptive_spo2": F.col("accx") + 49, "raw_r_median": F.col("accz"),
+        "adaptive_r_median": F.col("accz") + 1, "raw_valid_beat_count": (F.col("accx") % 3).cast("int"), "adaptive_valid_beat_count": (F.col("accx") % 5).cast("int"),
+        "raw_carried_forward": F.col("rf") == "R", "adaptive_carried_forward": F.col("rf") == "A", "missing_ratio": F.col("accz") * 4,
+        "reliable": F.col("ls") == "F",
+    }
 
 
 @query(
@@ -329,7 +335,7 @@ CASE WHEN accy > 0.02::DOUBLE THEN ls = 'F' ELSE accz * 4 <= 0.20::DOUBLE AND (a
     ("sensor",),
 )
 def w25(spark, sf):
-    out = w.rest_policy(t.sensor(spark, sf).withColumns(_SPO2))
+    out = w.rest_policy(t.sensor(spark, sf).withColumns(_spo2()))
     return out.select("recording", "sample_idx", "adaptive_applied", "spo2", "adaptive_r_median", "adaptive_valid_beat_count", "adaptive_carried_forward", "reliable")
 
 
@@ -373,13 +379,13 @@ _SD = lambda fn, win, step, start, th: f"""WITH {_win_sql(win, step, start)} SEL
 
 @query("w32_spo2_motion_score", _SD("stddev_samp", 100, 25, 0, 14.5), ("sensor",))
 def w32(spark, sf):
-    m = w.window_moments(t.sensor(spark, sf), {"mag": MAG}, 100, 25)
+    m = w.window_moments(t.sensor(spark, sf), {"mag": mag()}, 100, 25)
     return m.select("recording", "window_idx", r(w.sample_std("mag")).alias("score"), (w.sample_std("mag") > 14.5).alias("motion"))
 
 
 @query("w33_feature_motion_flag", _SD("stddev_pop", 50, 25, 25, 14.5), ("sensor",))
 def w33(spark, sf):
-    m = w.window_moments(t.sensor(spark, sf), {"mag": MAG}, 50, 25, 25)
+    m = w.window_moments(t.sensor(spark, sf), {"mag": mag()}, 50, 25, 25)
     return m.select("recording", "window_idx", r(w.population_std("mag")).alias("score"), (w.population_std("mag") > 14.5).alias("motion"))
 
 

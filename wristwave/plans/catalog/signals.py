@@ -10,7 +10,7 @@ from wristwave.operators import windows as w
 from wristwave.operators.delay import delay_profile, window_delays
 from wristwave.plans.catalog.alignment import LAG_SQL, lag_table
 from wristwave.plans.catalog.ranking import ranked_channels
-from wristwave.plans.catalog.sequences import FS, MAG, MAG_SQL, STEP, WIN
+from wristwave.plans.catalog.sequences import FS, MAG_SQL, STEP, WIN, mag
 from wristwave.plans.registry import query, r, rq
 from wristwave.sources import tables as t
 
@@ -123,7 +123,7 @@ SELECT ff.recording, ff.tier, g AS "group", confident, fallback, min_lag::INT AS
     ("sensor",),
 )
 def g11(spark, sf):
-    s = t.sensor(spark, sf).withColumn("_mag", MAG)
+    s = t.sensor(spark, sf).withColumn("_mag", mag())
     prof = delay_profile(s, "ppg", {"HF": ["accx"], "ACC": ["accy"]}, "_mag", FS, win=WIN, step=STEP, start=25, threshold=None)
     return prof.select("recording", "tier", "group", "confident", "fallback", "min_lag", "max_lag")
 
@@ -281,7 +281,7 @@ def w31(spark, sf):
 
 @query("a13_magnitude_features")
 def a13(spark, sf):
-    wins = w.window_arrays(t.sensor(spark, sf).withColumn("mag", MAG), ["mag"], WIN, STEP, 25)
+    wins = w.window_arrays(t.sensor(spark, sf).withColumn("mag", mag()), ["mag"], WIN, STEP, 25)
     m = wins.select("recording", "window_idx", "mag", sg.welch_features(FS)("mag").alias("f"))
     mean = F.aggregate("mag", F.lit(0.0), lambda a, x: a + x) / WIN
     energy = F.aggregate("mag", F.lit(0.0), lambda a, x: a + x * x) / WIN
