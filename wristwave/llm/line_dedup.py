@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wristwave.llm.common import WORD_GAP, let, materialise
+from wristwave.llm.common import WORD_GAP, fresh_name, let, materialise
 
 THRESHOLD = 1
 LEAST_CHARS = 32
@@ -200,17 +200,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: i
     met = met.withColumn("h1", spread).join(cold, F.col("hot_near").isNull() & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     met = met.select("key", "th", "pos", F.coalesce("hot_first", "first").alias("first"), F.coalesce("hot_near", "near").alias("near"))
     mine = F.struct(F.col("key").isNull().alias("none"), "key", "th", "pos")
-    drop = F.coalesce(F.col("near") | ~F.col("first").eqNullSafe(mine), F.lit(False))
-    gone = met.groupBy(F.col("key").alias("gk"), F.col("th").alias("gt")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("near"), 1)).alias("n_near"), F.collect_set(F.when(drop, F.col("pos"))).alias("gone"))
-    cut = docs.join(gone, docs[key].eqNullSafe(F.col("gk")) & (F.xxhash64(docs[text]) == F.col("gt")), "left")
-    kept = let(F.split(F.col(text), "\n"), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone")), lambda i: F.get(a, i)), "\n"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    cleaned = F.struct(zero("n_lines").alias("n_lines"), (zero_size("gone") - zero("n_near")).alias("n_repeated"), zero("n_near").alias("n_near"), F.when(zero_size("gone") == 0, F.col(text)).otherwise(kept).alias("text"))
+    drop = F.when(F.col("near").isNull(), False).otherwise(F.col("near") | ~F.col("first").eqNullSafe(mine))  # null: a line met once
+    gk, gt, g = (fresh_name(docs, c) for c in ("line_key", "line_th", "line_gone"))
+    places = lambda c: F.collect_set(F.when(c, F.col("pos")))  # noqa: E731  identical rows count once
+    per = F.struct(F.size(places(F.lit(True))).alias("n_lines"), F.size(places(F.col("near"))).alias("n_near"), places(drop).alias("at"))
+    gone = met.groupBy(F.col("key").alias(gk), F.col("th").alias(gt)).agg(per.alias(g))
+    cut = docs.join(gone, docs[key].eqNullSafe(F.col(gk)) & (F.xxhash64(docs[text]) == F.col(gt)), "left")
+    whole = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    dropped, near_ones = whole(F.size(f"{g}.at")), whole(F.col(f"{g}.n_near"))
+    kept = let(F.split(docs[text], "\n"), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col(f"{g}.at")), lambda i: F.get(a, i)), "\n"))
+    cleaned = F.struct(whole(F.col(f"{g}.n_lines")).alias("n_lines"), (dropped - near_ones).alias("n_repeated"), near_ones.alias("n_near"), F.when(dropped > 0, kept).otherwise(docs[text]).alias("text"))
     return cut.select(*[docs[c] for c in docs.columns], cleaned.alias(out))
-
-
-def zero_size(array: str) -> Column:
-    return F.coalesce(F.size(array), F.lit(0)).cast("long")
-
-
