@@ -330,23 +330,6 @@ def fourier_lms(u, d, m, k, mu, size=100, sigma=1.0, seed=42):
     return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def adaptive(kind, u, d, m, k, mu_base, corr, options):
-    """One cascade stage of strategy ``kind`` for windows sharing (m, k)."""
-    mu = mu_base - corr / 100.0
-    floor = np.maximum(options.get("mu_min", 1e-6), mu)
-    if kind == "lms":
-        return lms(u, d, m, k, mu)
-    if kind == "klms":
-        return kernel_lms(u, d, m, k, options.get("klms_step", 0.1), options.get("klms_sigma", 1.0), options.get("klms_epsilon", 0.1))
-    if kind == "volterra":
-        return volterra_lms(u, d, m, options.get("volterra_order", 3), k, mu)
-    if kind == "noncausal_lms":
-        return noncausal_lms(u, d, m, k, floor)
-    if kind == "rff_lms":
-        return fourier_lms(u, d, m, k, floor, options.get("rff_size", 100), options.get("rff_sigma", 1.0), options.get("rff_seed", 42))
-    raise ValueError(f"unknown adaptive filter: {kind!r}")
-
-
 def amplitude_preserving(d, u, order, mu):
     """Normalised LMS around the median, keeping level and amplitude of ``d``; ``order`` per row.
 

@@ -259,7 +259,7 @@ def adaptive_filter(kind: str, mu_base: float = 0.01, **options):
             if x is not None:
                 groups[(len(x), len(y), mm, kk)].append(i)
         for (_, _, mm, kk), rows in groups.items():
-            e = _FILTERS.get(kind, kn.adaptive)(kind, _stack(u, rows), _stack(d, rows), int(mm), int(kk), mu_base, corr.to_numpy(float)[rows], options)
+            e = _filter(kind)(kind, _stack(u, rows), _stack(d, rows), int(mm), int(kk), mu_base, corr.to_numpy(float)[rows], options)
             for i, y in zip(rows, e):
                 out[i] = y
         return pd.Series(out)
@@ -267,7 +267,10 @@ def adaptive_filter(kind: str, mu_base: float = 0.01, **options):
     return run
 
 
-_FILTERS: dict = {}
+def _filter(name: str):
+    if name not in _FILTERS:
+        raise ValueError(f"no adaptive filter is registered as {name!r}; there are {sorted(_FILTERS)}")
+    return _FILTERS[name]
 
 
 def register_filter(name: str, fn) -> None:
@@ -275,9 +278,24 @@ def register_filter(name: str, fn) -> None:
     _FILTERS[name] = fn
 
 
+def _step(mu_base, corr):
+    return mu_base - corr / 100.0
+
+
+#: Filters by name; each takes its own step rule and options.
+_FILTERS: dict = {
+    "volterra": lambda _, u, d, m, k, mu, c, o: kn.volterra_lms(u, d, m, o.get("volterra_order", 3), k, _step(mu, c)),
+    "rff_lms": lambda _, u, d, m, k, mu, c, o: kn.fourier_lms(
+        u, d, m, k, np.maximum(o.get("mu_min", 1e-6), _step(mu, c)), o.get("rff_size", 100), o.get("rff_sigma", 1.0), o.get("rff_seed", 42)),
+    "noncausal_lms": lambda _, u, d, m, k, mu, c, o: kn.noncausal_lms(u, d, m, k, np.maximum(o.get("mu_min", 1e-6), _step(mu, c))),
+    "klms": lambda _, u, d, m, k, mu, c, o: kn.kernel_lms(u, d, m, k, o.get("klms_step", 0.1), o.get("klms_sigma", 1.0), o.get("klms_epsilon", 0.1)),
+    "lms": lambda _, u, d, m, k, mu, c, o: kn.lms(u, d, m, k, _step(mu, c)),
+}
+
+
 def cascade(kind: str, mu_base: float = 0.01, **options):
     """(ppg, ranked references, their corr, their k, m) -> residual after all stages in rank order."""
-    stage = _FILTERS.get(kind, kn.adaptive)
+    stage = _filter(kind)
 
     @F.pandas_udf("array<double>")
     def run(d: pd.Series, refs: pd.Series, corr: pd.Series, k: pd.Series, m: pd.Series) -> pd.Series:
@@ -325,7 +343,8 @@ def clean_red_ir(mu_base: float = 0.01, mu_min: float = 1e-6):
     return run
 
 
-BEAT = "array<struct<beat_idx:int,v1_ir:int,p_ir:int,v2_ir:int,v1_red:int,p_red:int,v2_red:int>>"
+_BEAT_FIELDS = ("beat_idx", "v1_ir", "p_ir", "v2_ir", "v1_red", "p_red", "v2_red")
+BEAT = f"array<struct<{','.join(f'{n}:int' for n in _BEAT_FIELDS)}>>"
 
 
 def segment_beats(fs: float, min_interval_s=0.40, valley_s=0.12, peak_s=0.16, smooth_s=0.06, low=0.5, high=5.0, lp=8.0, filter_order=3):
@@ -335,29 +354,26 @@ def segment_beats(fs: float, min_interval_s=0.40, valley_s=0.12, peak_s=0.16, sm
     width = max(1, int(round(smooth_s * fs)))
     high, lp = min(high, 0.45 * fs), min(lp, 0.45 * fs)
 
-    def lowest(x, lo, hi):
-        return lo + int(np.argmin(x[lo:hi + 1])) if hi >= lo else None
+    def extreme(x, first, last):
+        """Place of the maximum of each row between two columns, and whether there is a column between them."""
+        at = np.arange(x.shape[1])
+        inside = (at >= first[:, None]) & (at <= last[:, None])
+        return np.where(inside, x, -np.inf).argmax(axis=1), first <= last
 
     def beats(red, ir):
-        rows = []
-        at = kn.local_maxima(-ir, dist)
-        for b, (v1, v2) in enumerate(zip(at[:-1], at[1:])):
-            if v2 <= v1 + 2:
-                continue
-            p = v1 + int(np.argmax(ir[v1:v2 + 1]))
-            if not v1 < p < v2:
-                continue
-            r1 = lowest(red, max(0, v1 - vh), min(p - 1, v1 + vh))
-            r2 = lowest(red, max(p + 1, v2 - vh), min(len(ir) - 1, v2 + vh))
-            if r1 is None or r2 is None or r2 <= r1 + 2:
-                continue
-            lo, hi = max(r1 + 1, p - ph), min(r2 - 1, p + ph)
-            if hi <= lo:
-                lo, hi = r1 + 1, r2 - 1
-            q = lo + int(np.argmax(red[lo:hi + 1]))
-            if r1 < q < r2:
-                rows.append({"beat_idx": b, "v1_ir": int(v1), "p_ir": p, "v2_ir": int(v2), "v1_red": r1, "p_red": q, "v2_red": r2})
-        return rows
+        """All beats of a stack of windows at once: (row, landmarks) columns of those that hold together."""
+        valleys = [kn.local_maxima(-x, dist) for x in ir]
+        row = np.repeat(np.arange(len(ir)), [max(0, len(v) - 1) for v in valleys])
+        begin, end = (np.concatenate([v[cut] for v in valleys]).astype(int) for cut in (slice(None, -1), slice(1, None)))
+        number = np.concatenate([np.arange(max(0, len(v) - 1)) for v in valleys]).astype(int)
+        crest, _ = extreme(ir[row], begin, end)
+        left, has_left = extreme(-red[row], np.maximum(0, begin - vh), np.minimum(crest - 1, begin + vh))
+        right, has_right = extreme(-red[row], np.maximum(crest + 1, end - vh), np.minimum(red.shape[1] - 1, end + vh))
+        near, far = np.maximum(left + 1, crest - ph), np.minimum(right - 1, crest + ph)
+        thin = far <= near  # no room around the infrared crest: anywhere between the valleys
+        top, _ = extreme(red[row], np.where(thin, left + 1, near), np.where(thin, right - 1, far))
+        whole = (end > begin + 2) & (begin < crest) & (crest < end) & has_left & has_right & (right > left + 2) & (left < top) & (top < right)
+        return row[whole], np.stack([number, begin, crest, end, left, top, right], axis=1)[whole]
 
     @F.pandas_udf(f"beats {BEAT}, red array<double>, ir array<double>")
     def run(red: pd.Series, ir: pd.Series) -> pd.DataFrame:
@@ -373,8 +389,9 @@ def segment_beats(fs: float, min_interval_s=0.40, valley_s=0.12, peak_s=0.16, sm
             if width > 1:
                 det = np.apply_along_axis(np.convolve, 1, det, box, "same")
             k = len(rows)
+            for j, marks in zip(*beats(det[:k], det[k:])):
+                out[rows[j]].append(dict(zip(_BEAT_FIELDS, marks.tolist())))
             for j, i in enumerate(rows):
-                out[i] = beats(det[j], det[k + j])
                 lo_r[i], lo_i[i] = adc[j], adc[k + j]
         return pd.DataFrame({"beats": out, "red": lo_r, "ir": lo_i})
 

@@ -6,7 +6,8 @@ transform windows in parallel, fold the small peak table per recording, smooth a
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -79,8 +80,9 @@ class HrResult(NamedTuple):
 
 # ---------------------------------------------------------------- shared stages
 def condition(samples: DataFrame, cols: list[str], p: HrParams, keys: list[str]) -> DataFrame:
-    """Optical outliers, resampling and band-pass; stored once because several stages read it."""
-    ready = clean.mean_outliers_previous(samples.select(*keys, "sample_idx", *cols), ["ppg"], keys=keys)
+    """Gaps, outliers, resampling and band-pass; stored once because several stages read it."""
+    whole = clean.clean_signal(samples.select(*keys, "sample_idx", *cols), cols, p.fs_origin, keys)
+    ready = clean.mean_outliers_previous(whole, ["ppg"], keys=keys)
     if p.fs_origin != p.fs_target:
         ready = sg.resample(ready, cols, p.fs_target, p.fs_origin, keys=keys)
     return materialise(sg.band_pass(ready, cols, p.fs_target, p.bp_low_hz, p.bp_high_hz, p.bp_order, keys=keys), "conditioned")
@@ -89,7 +91,7 @@ def condition(samples: DataFrame, cols: list[str], p: HrParams, keys: list[str])
 def source_motion(samples: DataFrame, cond: DataFrame, p: HrParams, keys: list[str]) -> DataFrame:
     """W5 at the source rate: keys, window_idx, std, threshold, motion."""
     acc = cond if p.fs_origin == p.fs_target else sg.band_pass(
-        samples.select(*keys, "sample_idx", *ACC), ACC, p.fs_origin, p.bp_low_hz, p.bp_high_hz, p.bp_order, keys=keys
+        clean.clean_signal(samples.select(*keys, "sample_idx", *ACC), ACC, p.fs_origin, keys), ACC, p.fs_origin, p.bp_low_hz, p.bp_high_hz, p.bp_order, keys=keys
     )
     fs = p.fs_origin
     return w.motion_flags(acc, magnitude(*[F.col(c) for c in ACC]), 8 * fs, fs, int(round(p.calib_time * fs)), p.motion_th_scale,
@@ -166,12 +168,12 @@ def quality_of(samples: DataFrame, p: HrParams, keys: list[str]) -> DataFrame:
     return w.window_quality(samples, F.col("valid"), 8 * fs, fs, fs, int(round(p.time_start * fs)), p.max_missing_ratio, p.max_gap_s, keys=keys)
 
 
-def reference_at(df: DataFrame, ref: DataFrame, keys: list[str], time: str, out: str) -> DataFrame:
-    """Reference series is per recording; a key with more parts (mode) sees the same series."""
+def reference_at(df: DataFrame, ref: DataFrame, keys: list[str], time: str, out: str, missing: float | None = 0.0) -> DataFrame:
+    """Reference series is per recording; a key with more parts (mode) sees the same series. ``missing`` where it has under two points."""
     if keys != ["recording"]:
         ref = ref.join(df.select(*keys).distinct(), "recording")
     q = df.withColumn("_t", F.col(time))
-    return interpolate(q.withColumnRenamed("_t", "t_s"), ref, keys, "t_s", "bpm", out, 3600.0).drop("t_s")
+    return interpolate(q.withColumnRenamed("_t", "t_s"), ref, keys, "t_s", "bpm", out, 3600.0, missing).drop("t_s")
 
 
 def _reindexed(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -234,8 +236,9 @@ def finish_dual(tracks: DataFrame, samples: DataFrame, ref: DataFrame, p: HrPara
     if p.scope == "motion":
         t = w.analysis_scope(t, "motion", "t_s0", p.pre_motion_s, keys=keys)
     t = smooth_and_fuse(materialise(t, "scoped"), p.smooth_win_len, keys)
-    q = quality_of(samples, p, keys).select(*keys, "window_idx", "missing_ratio", "reliable")
-    t = t.join(q, [*keys, "window_idx"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(True)))
+    # quality belongs to the recording, whatever else the keys tell apart
+    q = quality_of(samples, p, ["recording"]).select("recording", "window_idx", "missing_ratio", "reliable")
+    t = t.join(q, ["recording", "window_idx"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(True)))
     methods = ["lms_hf", "lms_acc", "fft", "fusion_hf", "fusion_acc"]
     t = materialise(t, "fused")
     if p.repair:
@@ -316,7 +319,7 @@ def estimate_hr_single(samples: DataFrame, ref: DataFrame, p: HrParams = SINGLE,
     t = w.fuse_v2(t, "ad", "fft", seg if refs else seg.filter("false"), "center_s", p.post_motion_s if p.scope == "full" else 0.0, p.recovery_trigger_bpm, keys)
     q = quality_of(samples, p, keys).select(*keys, "window_idx", "missing_count", "missing_ratio", "max_gap", "reliable")
     t = t.join(q, [*keys, "window_idx"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(True)))
-    t = reference_at(materialise(t, "fused"), ref, keys, "center_s", "ref_bpm")
+    t = reference_at(materialise(t, "fused"), ref, keys, "center_s", "ref_bpm", missing=None)
     if p.repair:
         t = clean.repair_unreliable(materialise(t, "referenced"), ["fft", "final"], "center_s", F.col("reliable"), keys)
     t = materialise(join_group(t, seg, keys, chunk_col("window_idx", CHUNK)), "repaired")
@@ -445,57 +448,55 @@ def quality_scan(samples: DataFrame, fs: int, profile: str = "single") -> DataFr
 def batch_estimate(samples: DataFrame, ref: DataFrame, p: HrParams = SINGLE, modes: list[str] = ("ppg_green", "ppg_red", "ppg_ir")) -> DataFrame:
     """E5: every recording in every optical mode, with its quality row; bad quality is recorded, not blocking.
 
-    Recordings without a reference are left out here and listed by ``discover``.
+    Recordings without a reference are estimated too; their status is ``no_reference`` and their errors are missing.
     """
-    paired = samples.join(ref.select("recording").distinct(), "recording", "left_semi")
-    qc = quality_scan(paired, p.fs_origin).select("recording", "status", "reason")
-    others = [c for c in paired.columns if not c.startswith("ppg")]
-    long = paired.select(*others, F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("ppg_any")) for m in modes])).alias("_m")).select(*others, "_m.*")
+    qc = quality_scan(samples, p.fs_origin).select("recording", "status", "reason")
+    others = [c for c in samples.columns if not c.startswith("ppg")]
+    long = samples.select(*others, F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("ppg_any")) for m in modes])).alias("_m")).select(*others, "_m.*")
     res = estimate_hr_single(long, ref, replace(p, ppg_mode="ppg_any"), ["recording", "mode"])
     wide = res.errors.groupBy("recording", "mode").pivot("method", ["fft", "final"]).agg(F.first("aae_all"))
-    return wide.join(qc, "recording", "left").select("recording", "mode", "status", "reason", F.col("fft").alias("fft_aae_bpm"), F.col("final").alias("final_aae_bpm"))
+    every = samples.select("recording").distinct().select("recording", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    known = ref.select("recording").distinct().withColumn("_ref", F.lit(True))
+    out = every.join(wide, ["recording", "mode"], "left").join(qc, "recording", "left").join(known, "recording", "left")
+    bare = F.col("_ref").isNull()
+    return out.select(
+        "recording", "mode", F.when(bare, "no_reference").otherwise(F.col("status")).alias("status"), "reason",
+        F.when(~bare, F.col("fft")).alias("fft_aae_bpm"), F.when(~bare, F.col("final")).alias("final_aae_bpm"))
 
 
 # ---------------------------------------------------------------- E6
+#: Fields of HrParams that candidates don't depend on: those of the tracking fold, and those of what follows it.
+_TRACKING = {"hr_range_rest", "slew_limit_rest", "slew_step_rest", "hr_range_hz", "slew_limit_bpm", "slew_step_bpm"}
+_FINISH = {"smooth_win_len", "time_bias", "repair", "scope", "pre_motion_s", "post_motion_s", "recovery_trigger_bpm", "max_missing_ratio", "max_gap_s"}
+
+
+def _grouped(spec: list[HrParams], names) -> list[list[int]]:
+    parts: dict[tuple, list[int]] = {}
+    for i, s in enumerate(spec):
+        parts.setdefault(tuple(getattr(s, n) for n in names), []).append(i)
+    return list(parts.values())
+
+
 def parameter_sweep(samples: DataFrame, ref: DataFrame, base: HrParams, grid: list[dict], scope_column: str = "aae_all") -> DataFrame:
-    """Every parameter set for every recording.
+    """Every parameter set for every recording; a set's errors are those that E1 has for it.
 
-    Candidates depend only on the filter part of a set and are computed once per distinct
-    part; the tracking part expands the small peak table.
+    Candidates are computed once for each distinct combination of the fields they depend on; the tracking
+    fields expand the small peak table, and sets that share what follows are finished together.
     """
     keys = ["recording", "trial"]
     spec = [replace(base, **g) for g in grid]
-    filt = ("fs_target", "max_order", "mu_base", "adaptive_filter", "penalty_width", "penalty_weight", "hf_channels", "options")
-    parts: dict[tuple, list[int]] = {}
-    for i, s in enumerate(spec):
-        parts.setdefault(tuple(getattr(s, f) for f in filt), []).append(i)
     tables = []
-    for ids in parts.values():
+    for ids in _grouped(spec, [f.name for f in fields(HrParams) if f.name not in _TRACKING | _FINISH]):
         peaks = peak_table_dual(samples, spec[ids[0]], ["recording"])
-        sets = F.array(*[
-            F.struct(F.lit(i).alias("trial"), *[c.alias(n) for n, c in tracking_columns(spec[i]).items()], F.lit(spec[i].smooth_win_len).alias("smooth"), F.lit(float(spec[i].time_bias)).alias("bias")) for i in ids
-        ])
+        sets = F.array(*[F.struct(F.lit(i).alias("trial"), *[c.alias(n) for n, c in tracking_columns(spec[i]).items()]) for i in ids])
         tables.append(peaks.withColumn("_s", F.explode(sets)).select("recording", "window_idx", "motion", "f_fft", "f_hf", "f_acc", "_s.*"))
-    table = tables[0]
-    for extra in tables[1:]:
-        table = table.unionByName(extra)
-    table = materialise(table, "sweep")
-    names = list(tracking_columns(base))
-    tr = track_paths(table, keys, ["hf", "acc"], "motion", {n: F.col(n) for n in names})
-    tr = tr.withColumn("motion", F.col("motion").cast("int")).withColumn("_c", F.col("window_idx") + F.lit(base.time_start + 4.0))
-    tr = reference_at(materialise(tr, "sweep-tracks"), ref, keys, "_c", "ref_bpm").withColumn("ref", F.col("ref_bpm") / 60).drop("_c", "ref_bpm")
-    tr = materialise(tr, "sweep-referenced")
-    by_width = {}
-    for i, s in enumerate(spec):
-        by_width.setdefault((s.smooth_win_len, s.time_bias), []).append(i)
+    table = materialise(reduce(DataFrame.unionByName, tables), "sweep")
+    tracks = materialise(track_paths(table, keys, ["hf", "acc"], "motion", {n: F.col(n) for n in tracking_columns(base)}), "sweep-tracks")
     errors = []
-    for (width, bias), ids in by_width.items():
-        part = tr.filter(F.col("trial").isin(ids))
-        t = smooth_and_fuse(part, width, keys).withColumn("reliable_i", F.lit(1))
-        errors.append(score(t, ["fusion_hf", "fusion_acc"], keys, bias)[1])
-    out = errors[0]
-    for e in errors[1:]:
-        out = out.unionByName(e)
+    for ids in _grouped(spec, sorted(_FINISH | {"time_start", "fs_origin"})):
+        done = finish_dual(tracks.filter(F.col("trial").isin(ids)), samples, ref, spec[ids[0]], keys)
+        errors.append(done.errors.filter(F.col("method").isin("fusion_hf", "fusion_acc")))
+    out = reduce(DataFrame.unionByName, errors)
     return out.withColumn("value", F.col(scope_column))
 
 
@@ -538,8 +539,11 @@ def rest_tracking_study(samples: DataFrame, ref: DataFrame, base: HrParams, grid
             mine = [i for i in ids if grid[i]["mode"] == mode]
             part, rest = t.filter(F.col("trial").isin(mine)), t.filter(~F.col("trial").isin(mine))
             if mode == "post_motion_slew":
-                step = grid[mine[0]]["step_bpm"] / 60.0 or 0.5 / 60.0
-                adj = post_motion_slew(part, "fft", F.col("motion"), step, max(1, width), keys)
+                adj = None  # every trial by its own step
+                for step in sorted({grid[i]["step_bpm"] for i in mine}):
+                    own = part.filter(F.col("trial").isin([i for i in mine if grid[i]["step_bpm"] == step]))
+                    one = post_motion_slew(own, "fft", F.col("motion"), step / 60.0 or 0.5 / 60.0, max(1, width), keys)
+                    adj = one if adj is None else adj.unionByName(one)
             else:
                 adj = post_recovery_blend(part, "fft", F.col("motion"), keys=keys)
             part = part.drop("fft").join(adj.select(*keys, "window_idx", "fft"), [*keys, "window_idx"])
@@ -619,19 +623,34 @@ def expert_spectrum_fusion(samples: DataFrame, shares: DataFrame, experts: dict[
 
 # ---------------------------------------------------------------- E11
 def re_evaluate(samples: DataFrame, ref: DataFrame, reports: DataFrame, base: HrParams) -> tuple[DataFrame, DataFrame]:
-    """Recompute each case (HF_best, ACC_best) with its stored parameters.
+    """Recompute each case (HF_best, ACC_best) with all its stored parameters.
 
-    ``reports``: recording, case_name and tracking fields (NULL = default). Candidates are
-    computed once, stored fields override the defaults per row (J13).
+    ``reports``: recording, case_name and any fields of HrParams (NULL = default; tracking fields also under
+    their column names). The distinct settings of the other fields reach the driver, which runs each one on
+    the recordings that have it; tracking fields override the defaults per row (J13).
     """
     keys = ["recording", "case_name"]
-    peaks = peak_table_dual(samples, base, ["recording"])
     par = tracking_columns(base)
-    rep = reports.select("recording", "case_name", *[F.coalesce(F.col(n), par[n]).alias(n) for n in par])
-    table = materialise(join_cases(materialise(peaks, "candidates"), rep), "cases")
-    tr = track_paths(table, keys, ["hf", "acc"], "motion", {n: F.col(n) for n in par})
-    long = samples.join(rep.select("recording", "case_name").distinct(), "recording")
-    return finish_dual(tr, long, ref, base, keys)
+    own = dict(zip(par, ("hr_range_rest", "slew_limit_rest", "slew_step_rest", "hr_range_hz", "slew_limit_bpm", "slew_step_bpm"), strict=True))
+    has = lambda n: F.col(n) if n in reports.columns else F.lit(None)
+    other = [f.name for f in fields(HrParams) if f.name in reports.columns and f.name not in _TRACKING and f.name not in ("options", "reference_groups")]
+    rep = materialise(reports.select(*keys, *other, *[F.coalesce(has(n), has(own[n]), par[n]).cast("double").alias(f"_{n}") for n in par]), "reports")
+    windows, errors = [], []
+    for told in [r.asDict() for r in rep.select(*other).distinct().collect()] if other else [{}]:
+        p = replace(base, **{n: type(getattr(base, n))(v) for n, v in told.items() if v is not None})
+        mine = rep
+        for n, v in told.items():
+            mine = mine.filter(F.col(n).eqNullSafe(F.lit(v)))
+        mine = mine.select(*keys, *[F.col(f"_{n}").alias(n) for n in par])
+        some = samples
+        if told:
+            asked = mine.select("recording").distinct().withColumn("_in", F.lit(True))
+            some = join_group(samples, asked, ["recording"], chunk_col("sample_idx", CHUNK), "inner").drop("_in")
+        table = materialise(join_cases(materialise(peak_table_dual(some, p, ["recording"]), "candidates"), mine), "cases")
+        done = finish_dual(track_paths(table, keys, ["hf", "acc"], "motion", {n: F.col(n) for n in par}), some, ref, p, keys)
+        windows.append(done.windows)
+        errors.append(done.errors)
+    return HrResult(reduce(DataFrame.unionByName, windows), reduce(DataFrame.unionByName, errors))
 
 
 def join_cases(peaks: DataFrame, rep: DataFrame) -> DataFrame:
