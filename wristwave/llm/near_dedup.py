@@ -4,11 +4,10 @@ Two fingerprints within ``radius`` bits, cut into ``radius // 2 + 1`` segments,
 one bit (pigeonhole). Every fingerprint is indexed once for each segment and each masked bit of it: equal
 signatures mean at most one differing bit there. Rows with equal signatures are verified by XOR.
 
-Components need no list of all pairs. Texts with equal fingerprints collapse first. In each signature
-bucket four pivots (minima under four fixed XOR masks) are compared with every member, which links a dense
-group in linear work; buckets whose members are in one component by then are done. In the others, members
-outside the bucket's largest component are compared with all: that pass is exact, and what it finds is only
-links between different components.
+Texts with equal fingerprints collapse first. The index is dealt out by signature and sorted, and tasks walk
+over it bucket by bucket. Components need no list of all pairs: a large bucket is searched from one member to
+the next, and whoever is reached is not looked at again, so a dense group costs one pass and gives one link a
+member. What a task holds is one Arrow batch or the fingerprints of one bucket, eight bytes each.
 """
 
 from __future__ import annotations
@@ -17,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wristwave.llm.common import fresh_name, materialise, ship
@@ -26,8 +26,8 @@ from wristwave.llm.components import connect
 
 SEED = 42
 BLOCK = 1 << 16
-#: XOR masks that give each bucket four unrelated pivots.
-MASKS = (0, 0x5555555555555555, 0x3C6EF372FE94F82A, 0x1F83D9ABFB41BD6B)
+#: Runs up to this length are compared in whole arrays.
+SHORT = 32
 
 
 def simhash(text: str | None, size: int = 4) -> int:
@@ -71,32 +71,70 @@ def signatures(fp: Column, radius: int) -> Column:
     return F.array(*out)
 
 
+def differing(a: np.ndarray, b) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it counts the absolute value's bits
+
+
+def reach(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect the fingerprints as all pairs within the radius would, one for each that is reached."""
+    out = []
+    while len(fps) > 1:
+        ahead, fps = [fps[0]], fps[1:]
+        while ahead and len(fps):
+            x = ahead.pop()
+            near = differing(fps, x) <= radius
+            if near.any():
+                hit, fps = fps[near], fps[~near]
+                out.append((np.full(len(hit), x), hit))
+                ahead.extend(hit)
+    return out
+
+
+def bucket_links(sig: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links inside the runs of equal signatures: short runs at once, shifted against themselves, long ones by reach()."""
+    edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    size = np.diff(np.append(edge, len(sig)))
+    out = []
+    for a, n in zip(edge[size > SHORT], size[size > SHORT], strict=True):
+        out += reach(fp[a : a + n], radius)
+    few = np.repeat((size > 1) & (size <= SHORT), size)
+    sig, fp = sig[few], fp[few]
+    for d in range(1, min(SHORT, len(sig))):
+        same = sig[d:] == sig[:-d]
+        if not same.any():
+            break
+        near = same & (differing(fp[d:], fp[:-d]) <= radius)
+        out.append((fp[:-d][near], fp[d:][near]))
+    return out
+
+
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """(src, dst) links that connect distinct fingerprints exactly as all pairs within the radius would."""
-    index = fps.select("fp", F.explode(signatures(F.col("fp"), radius)).alias("sig"))
-    bucket = Window.partitionBy("sig")
-    pivots = [F.min(F.col("fp").bitwiseXOR(F.lit(m))).over(bucket).alias(f"p{i}") for i, m in enumerate(MASKS)]
-    shared = index.select("sig", "fp", F.count(F.lit(1)).over(bucket).alias("n"), *pivots).filter("n > 1").drop("n")
-    shared = materialise(shared, "sim_shared")
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
-    first = None
-    for i, m in enumerate(MASKS):
-        p = F.col(f"p{i}").bitwiseXOR(F.lit(m))
-        star = shared.select(F.col("fp").alias("src"), p.alias("dst")).filter((F.col("src") != F.col("dst")) & near(F.col("src"), F.col("dst")))
-        first = star if first is None else first.unionByName(star)
-    first = materialise(first.distinct(), "sim_stars")
-    parts = connect(first)
-    member = shared.select("sig", "fp").join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("component", "fp").alias("c"))
-    member = materialise(member, "sim_members")
-    per = member.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("sig").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("sig", F.col("m.c").alias("main"))
-    mixed = member.join(main, "sig")
-    left = mixed.filter("c != main").select("sig", F.col("fp").alias("src"), F.col("c").alias("src_c"))
-    right = mixed.select("sig", F.col("fp").alias("dst"), F.col("c").alias("dst_c"))
-    pair = left.join(right, (left["sig"] == right["sig"]) & (F.col("src_c") != F.col("dst_c")) & near(F.col("src"), F.col("dst")))
-    rest = pair.groupBy("src_c", "dst_c").agg(F.min("src").alias("src"), F.min("dst").alias("dst")).select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"))
-    tied = parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).filter("src != dst")
-    return materialise(tied.unionByName(rest), "sim_links")
+    ship(fps.sparkSession)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the bucket that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held and held[0][0][0] == sig[-1]:
+                held.append((sig, fp))
+                continue
+            last = int(np.searchsorted(sig, sig[-1]))
+            yield found([*held, (sig[:last], fp[:last])])
+            held = [(sig[last:], fp[last:])]
+        if held:
+            yield found(held)
+
+    def found(parts) -> pa.RecordBatch:
+        got = bucket_links(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), radius)
+        ends = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, dtype=np.int64) for i in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["src", "dst"])
+
+    index = fps.select(F.explode(signatures(F.col("fp"), radius)).alias("sig"), "fp")
+    dealt = index.repartition("sig").sortWithinPartitions("sig", "fp")
+    return materialise(dealt.mapInArrow(walk, "src long, dst long").distinct(), "sim_links")
 
 
 def labelled(rows: DataFrame, radius: int) -> DataFrame:
