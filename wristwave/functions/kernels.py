@@ -309,21 +309,16 @@ def noncausal_lms(u, d, m, k, mu):
     return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-@lru_cache(maxsize=64)
-def fourier_features(size: int, span: int, sigma: float, seed: int):
-    rng = np.random.default_rng(seed % 2**32)
-    w = rng.normal(0.0, 1.0 / max(sigma, 1e-6), size=(size, span))
-    return w, rng.uniform(0.0, 2 * np.pi, size=size)
-
-
 def fourier_lms(u, d, m, k, mu, size=100, sigma=1.0, seed=42):
-    """LMS on cosine features of the tap vector; keeps the length."""
+    """LMS on cosine features of the tap vector, whose directions and phases are drawn from ``seed``; keeps the length."""
     d, first, x = _forward_span(u, d, m, k)
-    w, b = fourier_features(size, m + k, sigma, seed)
+    draw = np.random.default_rng(seed % 2**32)
+    directions = draw.standard_normal((size, m + k)) / max(sigma, 1e-6)
+    phases = 2 * np.pi * draw.random(size)
     out, theta = d.copy(), np.zeros((len(d), size))
     scale = np.sqrt(2.0 / size)
     for i in range(x.shape[1]):
-        z = scale * np.cos(x[:, i] @ w.T + b)
+        z = scale * np.cos(x[:, i] @ directions.T + phases)
         err = d[:, first + i] - (theta * z).sum(axis=1)
         out[:, first + i] = err
         theta += mu[:, None] * err[:, None] * z

@@ -160,11 +160,12 @@ def carry_forward(df, cols: list[str], keys=KEYS, order=IDX, size=CHUNK) -> Data
 
 
 def impute_median(df, cols: list[str]) -> DataFrame:
-    """Non-finite feature values -> the column's exact median, else 0."""
+    """Non-finite feature values -> the column's exact median, else 0.
+
+    All medians come from one pass over a long table; the driver sees one number per column.
+    """
     out = df.withColumns({c: numeric(F.col(c)) for c in cols})
-    for c in cols:
-        med = exact_percentiles(out, [], c, [0.5]).select(F.get("q", F.lit(0)).alias(f"_med_{c}"))
-        # one row at most: a scalar, never a growing broadcast
-        out = out.join(F.broadcast(med.groupBy().agg(F.max(f"_med_{c}").alias(f"_med_{c}"))))
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}"), F.lit(0.0))).drop(f"_med_{c}")
-    return out
+    cells = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(c).alias("_x")) for i, c in enumerate(cols)])
+    found = exact_percentiles(out.select(F.inline(cells)), ["_which"], "_x", [0.5])
+    medians = {r[0]: r[1] for r in found.select("_which", F.get("q", F.lit(0))).collect()}
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(medians.get(i)).cast("double"), F.lit(0.0)) for i, c in enumerate(cols)})

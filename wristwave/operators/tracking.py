@@ -21,6 +21,7 @@ from wristwave.operators.windows import segment_labels
 from wristwave.session import materialise
 
 FOLD_CHUNK = 256
+# The names of the tracking modes.
 MODES = [
     "current", "raw_peak", "fallback_slew_to_raw_peak", "all_peaks_near_prev",
     "all_peaks_with_raw_fallback", "post_motion_slew", "post_recovery_blend",

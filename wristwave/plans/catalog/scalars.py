@@ -58,9 +58,9 @@ def time_axis(df, col, fs):
     return out.withColumn("time_s", F.when(F.col("_miss") == 0, F.col(col)).otherwise(F.col("sample_idx") / fs))
 
 
-@query("p6_bridge_ratio_eps", "SELECT recording, sample_idx, accx / (accx + accy - accx + 1e-9::DOUBLE) AS ratio FROM sensor WHERE accy > 0", ("sensor",))
+@query("p6_bridge_ratio_eps", "SELECT recording, sample_idx, accx / (accx + accy - accx + 1e-9::DOUBLE) AS ratio FROM sensor", ("sensor",))
 def p6(spark, sf):
-    s = t.sensor(spark, sf).filter("accy > 0")
+    s = t.sensor(spark, sf)
     return s.select(*_IDS, sc.bridge_ratio_eps(F.col("accx"), F.col("accx") + F.col("accy")).alias("ratio"))
 
 

@@ -26,7 +26,10 @@ ACC = ["accx", "accy", "accz"]
 
 @dataclass(frozen=True)
 class HrParams:
-    """Defaults of the dual-path job; ``SINGLE`` holds those of the single-path job."""
+    """Defaults of the dual-path job; ``SINGLE`` holds those of the single-path job.
+
+    Fixed values: the published defaults, so that results can be compared.
+    """
 
     fs_origin: int = 100
     fs_target: int = 25

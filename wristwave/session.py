@@ -47,10 +47,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is named."""
+    """The cluster's checkpoint folder; a fresh local one only where none is named and there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_wristwave_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="spark-wristwave-")
