@@ -134,19 +134,21 @@ def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(key, row, text, next_row, next_text) with the next row by descending key; after the last comes the first.
 
     Rows of equal keys follow one another by hash of their text, then place; null keys come last. Texts are
-    dealt out once, by blocks of neighbouring keys; only the last row of a block meets the first of the next one.
+    dealt out once, by blocks of neighbouring keys. Each block also gets the first row of the one after it,
+    a copy that only its last row sees.
     """
     order_key = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(key).alias("key"), order_key.alias("k"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("cell", F.shiftright("k", NEIGHBOURS))
-    w = Window.partitionBy("cell").orderBy(F.col("k").desc(), F.xxhash64("text"), "row")
-    met = rows.select("key", "row", "text", "cell", F.row_number().over(w).alias("rank"), F.lead("row").over(w).alias("next_row"), F.lead("text").over(w).alias("next_text"))
+    order = [F.col("k").desc(), F.xxhash64("text"), F.col("row")]
     cells = materialise(docs.select(F.shiftright(order_key, NEIGHBOURS).alias("k")).distinct(), "fp_cells")
-    after = materialise(next_lower(cells), "fp_next_cells")
-    heads = met.filter("rank = 1").select(F.col("cell").alias("next"), F.col("row").alias("head_row"), F.col("text").alias("head_text"))
-    ends = met.filter("next_row is null").join(after, F.col("cell") == F.col("k")).join(heads, "next")
-    inner = met.filter("next_row is not null").select("key", "row", "text", "next_row", "next_text")
-    return inner.unionByName(ends.select("key", "row", "text", F.col("head_row").alias("next_row"), F.col("head_text").alias("next_text")))
+    after = next_lower(cells).select(F.col("k").alias("to"), F.col("next").alias("cell"))
+    heads = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).filter("rank = 1").drop("rank")
+    guests = materialise(heads.join(after, "cell").select("key", "k", "text", "row", F.col("to").alias("cell")), "fp_heads")
+    all_rows = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    w = Window.partitionBy("cell").orderBy("guest", *order)
+    met = all_rows.select("key", "row", "text", "guest", F.lead("row").over(w).alias("next_row"), F.lead("text").over(w).alias("next_text"))
+    return met.filter(~F.col("guest")).drop("guest")
 
 
 def edited(text: Column, following: Column) -> Column:
