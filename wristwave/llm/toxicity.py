@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wristwave.llm.common import ship
 
-POSITIVES, UNLABELLED, TEXT_CHARS = 3000, 9000, 40_000
+POSITIVES, UNLABELLED, TEXT_CHARS = 3000, 9000, 20_000
 LEAST_TEXTS, TELLING, FEATURES, STEPS = 4, 15, 60_000, 300
 STEMS = (4, 5)
 
@@ -53,22 +53,25 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model({}, start)
-    sets = [features(t) for t in (*positive, *unlabelled)]
-    p, seen = len(positive), Counter(f for s in sets for f in s)
-    hits = Counter(f for s in sets[:p] for f in s)
-
-    def telling(f: str) -> bool:
-        """More frequent in positives than, with the prior taken out, in the negatives among the unlabelled."""
-        rest, among = (seen[f] - hits[f]) / (len(sets) - p), hits[f] / p
-        clean = max(0.0, (rest - prior * among) / (1 - prior))
-        return hits[f] >= LEAST_TEXTS and among > TELLING * (clean + 1 / (len(sets) - p))
-
-    kept = sorted((f for f in hits if telling(f)), key=lambda f: (-hits[f], f))[:FEATURES]
-    number = {f: i for i, f in enumerate(kept)}
-    cols = [np.array(sorted(number[f] for f in s if f in number), dtype=np.int64) for s in sets]
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.zeros(0, dtype=np.int64)
-    n = len(sets)
+    p, u = len(positive), len(unlabelled)
+    hits = Counter(f for t in positive for f in features(t))
+    able = sorted(f for f, n in hits.items() if n >= LEAST_TEXTS)
+    number = {f: i for i, f in enumerate(able)}
+    del hits
+    has = lambda t: np.array(sorted(number[f] for f in features(t) if f in number), dtype=np.int64)
+    cols = [has(t) for t in (*positive, *unlabelled)]
+    row, col = np.repeat(np.arange(p + u), [len(c) for c in cols]), np.concatenate(cols)
+    # more frequent in positives than, with the prior taken out, in the negatives among the unlabelled
+    among = np.bincount(col[row < p], minlength=len(able)) / p
+    rest = np.bincount(col[row >= p], minlength=len(able)) / u
+    clean = np.maximum(0, (rest - prior * among) / (1 - prior))
+    telling = np.flatnonzero(among > TELLING * (clean + 1 / u))
+    telling = np.sort(telling[np.argsort(-among[telling], kind="stable")][:FEATURES])
+    place = np.full(len(able), -1)
+    place[telling] = np.arange(len(telling))
+    kept = [able[i] for i in telling]
+    row, col = row[place[col] >= 0], place[col[place[col] >= 0]]
+    n = p + u
     w, b = np.zeros(len(kept)), start
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -98,10 +101,14 @@ def fit(docs: DataFrame, confirmed: DataFrame, prior: float, key: str = "doc_id"
     """
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t").between(1, TEXT_CHARS))
     marks = confirmed.select(F.col(key).alias("mk")).filter("mk is not null").distinct()
-    turn = F.xxhash64("k", "t")
-    positive = narrow.join(marks, narrow["k"] == marks["mk"], "left_semi").orderBy(turn).limit(POSITIVES)
-    other = narrow.join(marks, narrow["k"] == marks["mk"], "left_anti").orderBy(turn).limit(UNLABELLED)
-    texts = lambda rows: [r[0] for r in rows.select("t").toLocalIterator()]  # noqa: E731  bounded above
+    chosen = marks.orderBy(F.xxhash64("mk"), "mk").limit(POSITIVES)  # few keys, so they may be broadcast
+    positive = narrow.join(F.broadcast(chosen), narrow["k"] == chosen["mk"], "left_semi").select("t").limit(POSITIVES)
+    # unlabelled texts are thinned by hash before any of them is moved
+    turn, n = F.xxhash64("k", "t").bitwiseAND((1 << 40) - 1), narrow.count()
+    below = 1 << 40 if n <= 2 * UNLABELLED else int((1 << 40) * 2 * UNLABELLED / n)
+    thin = narrow.withColumn("turn", turn).filter(F.col("turn") < below)
+    other = thin.join(marks, thin["k"] == marks["mk"], "left_anti").orderBy("turn", "t").select("t").limit(UNLABELLED)
+    texts = lambda rows: sorted(r.t for r in rows.collect())  # noqa: E731  bounded above
     return train(texts(positive), texts(other), prior)
 
 
