@@ -7,7 +7,7 @@ neighbours refreshed. Words longer than ``SCAN_BYTES`` (pasted data, rows of das
 over linked parts instead, which gives the same tokens in n log n.
 
 Spark deals the texts out; a task holds one Arrow batch of texts, the vocabulary (50,000 entries) and a
-cache of word encodings of at most ``CACHE_WORDS`` entries. No shuffle, nothing on the driver.
+caches of encodings of at most ``CACHE_WORDS`` entries a generation. No shuffle, nothing on the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from wristwave.llm.common import ship
 
 SCAN_BYTES = 256
-CACHE_WORDS = 400_000
-CACHE_BYTES = 64
+CACHE_WORDS = 300_000
+CACHE_CHARS = 48
 
 # The published pattern of the vocabulary, with white space spelled out.
 PATTERN = (
@@ -44,86 +45,110 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Cache(dict):
+    """Encodings by word, made when first asked for. A full one becomes the older generation, which is looked up once more."""
+
+    def __init__(self, make, size: int = CACHE_WORDS):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class ByteBpe:
-    """A vocabulary file: ids by bytes, merge ranks by the bytes that a merge makes, added tokens."""
+    """A vocabulary file: ids by bytes, merge ranks by pair of ids, added tokens."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
-        self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.ranks[raw(a), raw(b)] = rank
+        ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
+        self.single = [ids[bytes([b])] for b in range(256)]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.ranks, self.made = {}, []
+        for rank, (x, y) in enumerate(pairs):
+            self.ranks[ids[raw(x)] << 32 | ids[raw(y)]] = rank
+            self.made.append(ids[raw(x) + raw(y)])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.bytes = {i: b for b, i in ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.pieces = regex.compile(PATTERN).findall
+        self.uneven = re.compile(r"\s\s|^\s|\s$").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = Cache(self.word)
+        self.spaced = Cache(lambda chunk: tuple(chain.from_iterable(map(self.words.__getitem__, self.pieces(" " + chunk)))))
 
     def word(self, word: str) -> tuple[int, ...]:
         data = word.encode()
-        parts = self.scan(data) if len(data) <= SCAN_BYTES else self.heap(data)
-        ids = tuple(self.ids[p] for p in parts)
-        if len(data) <= CACHE_BYTES:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        return tuple(self.scan(data) if len(data) <= SCAN_BYTES else self.heap(data))
 
-    def scan(self, data: bytes) -> list[bytes]:
-        get, none = self.ranks.get, len(self.ranks)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        rank = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+    def scan(self, data: bytes) -> list[int]:
+        get, none, single = self.ranks.get, len(self.made), self.single
+        parts = [single[b] for b in data]
+        rank = [get(x << 32 | y, none) for x, y in zip(parts, parts[1:], strict=False)]
         while rank:
             low = min(rank)
             if low == none:
                 break
             i = rank.index(low)
-            parts[i] += parts[i + 1]
+            parts[i] = self.made[low]
             del parts[i + 1], rank[i]
             if i:
-                rank[i - 1] = get((parts[i - 1], parts[i]), none)
+                rank[i - 1] = get(parts[i - 1] << 32 | parts[i], none)
             if i < len(rank):
-                rank[i] = get((parts[i], parts[i + 1]), none)
+                rank[i] = get(parts[i] << 32 | parts[i + 1], none)
         return parts
 
-    def heap(self, data: bytes) -> list[bytes]:
+    def heap(self, data: bytes) -> list[int]:
         n, get = len(data), self.ranks.get
-        part: list[bytes | None] = [data[i : i + 1] for i in range(n)]
+        part = [self.single[b] for b in data]
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := get((part[i], part[i + 1]))) is not None]
+        queue = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := get(part[i] << 32 | part[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
+            rank, i, x, y = heapq.heappop(queue)
             j = after[i]
-            if j < 0 or part[i] != a or part[j] != b:  # out of date
+            if j < 0 or part[i] != x or part[j] != y:  # out of date
                 continue
-            part[i], part[j] = a + b, None
+            part[i], part[j] = self.made[rank], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := get((part[x], part[y]))) is not None:
-                    heapq.heappush(queue, (r, x, part[x], part[y]))
-        return [p for p in part if p is not None]
-
-    def plain(self, text: str) -> Iterable[tuple[int, ...]]:
-        known, word = self.known, self.word
-        for piece in self.pieces(text):
-            yield known.get(piece) or word(piece)
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right >= 0 and (r := get(part[left] << 32 | part[right])) is not None:
+                    heapq.heappush(queue, (r, left, part[left], part[right]))
+        return [p for p in part if p >= 0]
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without added tokens.
+
+        Where single spaces stand between other characters, a word begins at each of them, so such texts are
+        cut at spaces and a chunk's ids are looked up at once; other texts go through the pattern.
+        """
+        if self.uneven(text):
+            return list(chain.from_iterable(map(self.words.__getitem__, self.pieces(text))))
+        chunks = text.split(" ")
+        first = map(self.words.__getitem__, self.pieces(chunks[0]))
+        return list(chain(chain.from_iterable(first), chain.from_iterable(map(self.spaced.__getitem__, chunks[1:]))))
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or not any(t in text for t in self.added):
-            return list(chain.from_iterable(self.plain(text)))
+            return self.plain(text)
         out: list[int] = []
         for k, part in enumerate(self.cut.split(text)):
             if k % 2:
                 out.append(self.added[part])
             else:
-                out.extend(chain.from_iterable(self.plain(part)))
+                out += self.plain(part)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
