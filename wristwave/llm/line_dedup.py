@@ -25,45 +25,55 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wristwave.llm.common import WORD_GAP, fresh_name, let, materialise
+from wristwave.llm.common import fresh_name, let, materialise
 
 THRESHOLD = 1
 LEAST_CHARS = 32
 LEVELS = 3
 HOT = 1000
+WORDS = 1 << 18
 
 
 def entries(line: Column, threshold: int, with_rest: bool) -> Column:
     """Keys of a line: (sig, index, rest); index: it is a segment of the line itself, else only looked up.
 
-    rest is the line without the segment. Strings too short to cut keep one key per length.
+    For each length up to ``threshold`` shorter and each segment of such a line, the substrings that can equal
+    it start at most ``i`` places from the segment's own (``i`` edits fit before the i-th segment) and leave at most
+    ``threshold - i`` edits behind it. rest is the line without the segment. Strings too short to cut have one key per
+    length. The loops are over the threshold, so they are unrolled here and generated code does the rest.
     """
-    parts, n = threshold + 1, F.length(line)
-
-    def of_segment(size, i):
-        """Substrings of the line that can equal segment i of a line of that size."""
-        long = parts - size % parts  # segments before this one are shorter by one
-        width = F.floor(size / parts).cast("int") + F.when(i >= long, 1).otherwise(0)
-        at = i * F.floor(size / parts).cast("int") + F.greatest(F.lit(0), i - long)
-        more = n - size
-        low = F.greatest(at - i, at + more - (threshold - i), F.lit(0))
-        high = F.least(at + i, at + more + (threshold - i), n - width)
-
-        def key(q):
-            sig = F.xxhash64(size, i, F.substring(line, q + 1, width)).alias("sig")
-            index = ((more == 0) & (q == at)).alias("index")
-            rest = F.concat(F.substring(line, F.lit(1), q), F.substring(line, q + width + 1, n)).alias("rest")
-            return F.struct(sig, index, rest) if with_rest else F.struct(sig, index)
-
-        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), key)).otherwise(F.array().cast(kind))
-
-    kind = "array<struct<sig:bigint,index:boolean,rest:string>>" if with_rest else "array<struct<sig:bigint,index:boolean>>"
-
-    def of_size(size):
-        plain = [F.xxhash64(size).alias("sig"), (size == n).alias("index"), *([line.alias("rest")] if with_rest else [])]
-        return F.when(size < parts, F.array(F.struct(*plain))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(threshold)), lambda i: of_segment(size, i))))
-
-    return F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), n - threshold), n), of_size))
+    # the length is counted once: inside conditions Spark would count it for every mention
+    return let(F.length(line), lambda n: F.filter(F.array(*_candidates(line, n, threshold, with_rest)), lambda e: e["sig"].isNotNull()))
+
+
+def _candidates(line: Column, n: Column, threshold: int, with_rest: bool) -> list[Column]:
+    parts, out = threshold + 1, []
+    for more in range(threshold + 1):
+        size = n - more
+        short = F.call_function("div", size, F.lit(parts)).cast("int")
+        long_from = parts - size % parts  # segments from this one on are longer by one
+        for i in range(parts):
+            width = short + F.when(i >= long_from, 1).otherwise(0)
+            at = i * short + F.greatest(F.lit(0), i - long_from)
+            for off in range(max(-i, more - (threshold - i)), min(i, more + threshold - i) + 1):
+                q = at + off
+                made = F.xxhash64(size, F.lit(i), F.substring(line, q + 1, width))
+                fits = (size >= parts) & (q >= 0) & (q <= n - width)
+                plain = i == 0 and off == max(0, more - threshold)
+                sig = F.when(fits, made)
+                if plain:
+                    sig = F.when((size < parts) & (size >= 0), F.xxhash64(size)).otherwise(sig)
+                row = [sig.alias("sig"), F.lit(more == 0 and off == 0).alias("index")]
+                if with_rest:
+                    rest = F.concat(F.substring(line, F.lit(1), q), F.substring(line, q + width + 1, n))
+                    row.append(F.when(size < parts, line).otherwise(rest).alias("rest"))
+                out.append(F.struct(*row))
+    return out
+
+
+def packed_keys(line: Column, threshold: int) -> Column:
+    """The keys of a line without rests, each in a long whose lowest bit is ``index``."""
+    return F.transform(entries(line, threshold, False), lambda e: F.shiftleft(e["sig"], 1).bitwiseOR(F.when(e["index"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
 
 
 def _common(a: Column, b: Column, most: Column, backwards: bool = False, start: Column | None = None) -> Column:
@@ -128,7 +138,19 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, th, pos, line, h1, h2) of lines with a word; th tells texts of one key apart."""
     cells = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return cells.filter(F.regexp_replace("line", WORD_GAP, "") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return cells.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+
+
+def may_be_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key (a hash) may be among the ids, by a bitmap of 64 * ``WORDS`` bits: most others stay where they are.
+
+    The bitmap is at most ``WORDS`` rows, so it may be broadcast; where ids fill it, it keeps all rows.
+    """
+    word, bit = F.shiftrightunsigned(key, 6).bitwiseAND(WORDS - 1), F.col(key).bitwiseAND(63).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = ids.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    met = rows.withColumn("word", word).join(F.broadcast(bits), "word")
+    return met.filter(F.col("mask").bitwiseAND(mask) != 0).drop("word", "mask")
 
 
 def near_lines(lines: DataFrame, texts_of, threshold: int) -> DataFrame:
@@ -179,13 +201,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: i
     docs = docs.drop(out)
     occ = occurrences(docs, key, text)
     long = F.length("line") >= LEAST_CHARS
-    sigs = F.when(long, F.transform(entries(F.col("line"), threshold, False), lambda e: F.shiftleft(e["sig"], 1).bitwiseOR(F.when(e["index"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))))
+    sigs = F.when(long, packed_keys(F.col("line"), threshold))
     seen = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th", "pos")).alias("first")
     lines = occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), seen, F.first(sigs).alias("sigs"))
     lines = materialise(lines, "lines")
 
     def texts_of(ids):
-        wanted = occ.filter(long).select("h1", "h2", "line").join(ids, "h1", "left_semi")
+        some = may_be_in(occ.filter(long).select("h1", "h2", "line"), ids, "h1")
+        wanted = some.join(ids, "h1")  # a semi-join would be pushed below the bitmap
         return wanted.groupBy("h1", "h2", "line").agg(F.count(F.lit(1)).alias("n"))
 
     near = near_lines(lines.filter("sigs is not null"), texts_of, threshold)
