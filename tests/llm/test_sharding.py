@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wristwave.llm import sharding as sh
 
@@ -31,6 +32,18 @@ def test_more_partitions_than_parts(docs_of, monkeypatch):
     assert sorted(r.doc_id for r in got) == list(range(500)) and {*Counter(r.shard for r in got).values()} == {83, 84}
 
 
+@pytest.mark.parametrize("empty", [{1, 2, 4, 5, 6}, {0, 1, 2, 3, 5, 7}, {3}])
+def test_empty_partitions_in_between(spark, docs_of, monkeypatch, empty):
+    monkeypatch.setattr(sh, "PARTS", 4)
+    docs = docs_of([(i, "t") for i in range(500)], 1)
+    filled = sorted(set(range(8)) - empty)
+    home = F.element_at(F.array(*[F.lit(k) for k in filled]), (F.col("doc_id") % len(filled) + 1).cast("int"))
+    rows = docs.withColumn("home", home).rdd.map(lambda r: (r.home, tuple(r)[:-1])).partitionBy(8, int).values()
+    got = sh.shuffle(spark.createDataFrame(rows, docs.schema), 6).collect()
+    assert sorted(r.doc_id for r in got) == list(range(500)) and {*Counter(r.shard for r in got).values()} == {83, 84}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in Counter(r.shard for r in got).items())
+
+
 def test_order_is_uniform():
     """Over seeds, a row lands in every slot equally often, and neighbours part company."""
     blocks, parts = [4, 4, 4], [6, 6]

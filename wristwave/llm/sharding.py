@@ -55,21 +55,21 @@ def shuffle(docs: DataFrame, shards: int, seed: int = 7, shard: str = "shard", s
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in (shard.lower(), slot.lower())])
-    part, place, block = (fresh_name(docs, c) for c in ("in_part", "in_place", "to_block"))
+    part, place, block, number, before = (fresh_name(docs, c) for c in ("in_part", "in_place", "to_block", "part_number", "rows_before"))
     # part and place are stored with the rows, so a task that runs again gives them the same fate
     marked = docs.withColumn(place, F.monotonically_increasing_id())
     stored = materialise(marked, "shard_rows")
     scan, within = F.shiftrightunsigned(F.col(place), 33).cast("int"), F.col(place).bitwiseAND((1 << 33) - 1)
-    sizes = {r[0]: r[1] for r in stored.groupBy((scan % PARTS).alias("p")).count().collect()}  # at most PARTS rows
+    # scan partitions that hold rows are numbered without gaps; those of one residue count through one another
     top = stored.groupBy(scan.alias("s")).agg((F.max(within) + 1).alias("n"))
+    nth = F.row_number().over(Window.orderBy("s")) - 1  # one row a partition
+    begin = Window.partitionBy("p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    top = materialise(top.withColumn("p", (nth % PARTS).cast("long")).withColumn("b", F.coalesce(F.sum("n").over(begin), F.lit(0))), "shard_parts")
+    sizes = {r[0]: r[1] for r in top.groupBy("p").agg(F.sum("n")).collect()}  # at most PARTS rows
     if not sizes:
         return stored.select(*docs.columns, F.lit(0).alias(shard), F.lit(0).cast("long").alias(slot)).limit(0)
-    wide = top.count() > PARTS
-    if wide:  # more scan partitions than PARTS: those of one residue count through one another
-        begin = Window.partitionBy("p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        top = top.withColumn("p", F.col("s") % PARTS).withColumn("b", F.coalesce(F.sum("n").over(begin), F.lit(0)))
-        stored = stored.withColumn(part, scan).join(top.select(F.col("s").alias(part), F.col("b")), part)
-        stored = stored.withColumn(place, (F.col(part) % PARTS).cast("long") * (1 << 33) + within + F.col("b")).drop(part, "b")
+    stored = stored.withColumn(part, scan).join(top.select(F.col("s").alias(part), F.col("p").alias(number), F.col("b").alias(before)), part)
+    stored = stored.withColumn(place, F.col(number) * (1 << 33) + within + F.col(before)).drop(part, number, before)
     parts = sorted(sizes)
     total = sum(sizes.values())
     per = min(max(1, BLOCKS // shards), max(1, round(total / shards / BLOCK_ROWS)))
