@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wristwave.llm import bpe, chat, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, toxicity, urls
+from wristwave.llm import bpe, chat, fingerprints, line_dedup, mixing, near_dedup, quality, resampling, sharding, toxicity, urls
 from wristwave.llm.common import table, utf8_hex, word_count
 
 QUERIES: dict = {}
@@ -173,3 +173,35 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = near_dedup.components(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", *[f"resample.{c}" for c in ("n_features", "weight", "score", "rank")])
+
+
+# CRC-32 of a text's UTF-8 bytes: its table made from the polynomial 0xEDB88320, then a fold over the bytes
+_CRC_TABLE = """list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _crc32(text: str, rows: str) -> str:
+    """(x, c) for every distinct ``text`` of ``rows``."""
+    return f"""(SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c
+  FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT {text} AS x FROM {rows})), (SELECT {_CRC_TABLE} AS t))"""
+
+
+_CUT = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x"
+ORACLES["op13_importance_resampling"] = f"""
+WITH raw AS (SELECT doc_id, {_CUT} FROM documents), want AS (SELECT {_CUT} FROM benchmark),
+every AS MATERIALIZED (SELECT x FROM raw UNION SELECT x FROM want),
+hashed AS MATERIALIZED (SELECT x, c % 10000 AS k FROM {_crc32('x', 'every')}),
+s AS (SELECT k, count(*) AS n FROM raw JOIN hashed USING (x) GROUP BY k), t AS (SELECT k, count(*) AS n FROM want JOIN hashed USING (x) GROUP BY k),
+sizes AS (SELECT (SELECT count(*) FROM raw) AS s, (SELECT count(*) FROM want) AS t),
+gains AS (SELECT s.k, floor(1000 * ln(((coalesce(t.n, 0) + 1) * (sizes.s + 10000))::DOUBLE / ((s.n + 1) * (sizes.t + 10000))::DOUBLE))::BIGINT AS g FROM s LEFT JOIN t ON s.k = t.k, sizes),
+d AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS g FROM raw JOIN hashed USING (x) JOIN gains USING (k) GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM p) // 100 THEN place END::BIGINT AS rank FROM r LEFT JOIN p USING (doc_id)"""

@@ -11,6 +11,21 @@ from wristwave.session import materialise, ship  # noqa: F401  general helpers
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+#: What separates words of letters and digits; everything outside ASCII counts as a letter. For texts in lower case.
+NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower_ascii(text: Column) -> Column:
+    """The text with A-Z in lower case, other letters as they are; empty for null."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def alnum_words(text: Column) -> Column:
+    """The words of letters and digits of a text in lower case; none for null."""
+    return F.array_remove(F.split(lower_ascii(text), NOT_ALNUM), "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
