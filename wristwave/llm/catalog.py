@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wristwave.llm import bpe, chat, fingerprints, line_dedup, mixing, near_dedup, quality, resampling, sharding, toxicity, urls
+from wristwave.llm import bpe, chat, decontamination, fingerprints, line_dedup, mixing, near_dedup, quality, resampling, sharding, toxicity, urls
 from wristwave.llm.common import table, utf8_hex, word_count
 
 QUERIES: dict = {}
@@ -175,6 +175,27 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op12_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), utf8_hex(decontamination.joined(F.col("items"))).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+ORACLES["op12_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} FROM documents), i AS (SELECT item_id, {_WORDS} FROM benchmark),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS g FROM (SELECT item_id, w[k0:k0 + 9] AS x FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k0 FROM i WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (SELECT doc_id, n, k0, array_to_string(w[k0:k0 + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k0 FROM d, sizes)),
+found AS MATERIALIZED (SELECT doc_id, k0, n, item_id FROM grams JOIN windows USING (n, g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k0, k0 + n)) AS p FROM (SELECT DISTINCT doc_id, k0, n FROM found)) GROUP BY doc_id),
+who AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN who ON d.doc_id = who.doc_id"""
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
