@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wristwave.llm import bpe, chat, decontamination, fingerprints, line_dedup, mixing, near_dedup, quality, resampling, sharding, toxicity, urls
+from wristwave.llm import bpe, chat, decontamination, fingerprints, line_dedup, mixing, near_dedup, quality, resampling, sharding, spelling, toxicity, urls
 from wristwave.llm.common import table, utf8_hex, word_count
 
 QUERIES: dict = {}
@@ -175,6 +175,11 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op12_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
