@@ -18,7 +18,7 @@ from wristwave.operators import clean, signal as sg, stats as st, windows as w
 from wristwave.operators.align import interpolate, shifted
 from wristwave.operators.chunked import CHUNK, chunk_col, join_group, longest_run, rolling
 from wristwave.operators.delay import delay_profile, window_delays
-from wristwave.operators.tracking import fold, post_motion_slew, post_recovery_blend, tracked
+from wristwave.operators.tracking import fold, post_motion_slew, post_recovery_blend, tracked, tracked_move
 from wristwave.session import materialise
 
 ACC = ["accx", "accy", "accz"]
@@ -156,7 +156,14 @@ def track_paths(df: DataFrame, keys: list[str], paths: list[str], active: str, p
             out.append(F.when(r["_m"], est).otherwise(fft).alias(q))
         return F.struct(*out, r["_m"].alias("m")).cast(state)
 
-    done = fold(df, keys, "window_idx", payload, step, "_s", state=state, size=size)
+    raw = lambda r, c: F.coalesce(F.get(r[c], F.lit(0)), F.lit(0.0))
+    # the FFT chain, then each path: in motion it tracks its own peaks, from the strongest one on; at rest it copies the first
+    moves = [lambda _, r: tracked_move(r["_fft"], r["_mode"] if mode is not None else None, r["range_rest"], r["limit_rest"] / 60, r["step_rest"] / 60, raw(r, "_fft"))]
+    for q in paths:
+        moves.append(lambda b, r, c=f"_{q}": F.when(r["_m"], tracked_move(
+            r[c], None, r["range_hz"], r["limit_bpm"] / 60, r["step_bpm"] / 60, raw(r, c), ~F.coalesce(b["_m"], F.lit(False)))))
+    entry = lambda rates, before: F.struct(*[F.get(rates, F.lit(k)).alias(n) for k, n in enumerate(["fft", *paths])], before["_m"].alias("m"))
+    done = fold(df, keys, "window_idx", payload, step, "_s", moves, state=state, size=size, entry=entry)
     return done.select(*keys, "window_idx", F.col("_m").alias(active), F.col("_s.fft").alias("fft"), *[F.col(f"_s.{q}").alias(q) for q in paths])
 
 
