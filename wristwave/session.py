@@ -72,8 +72,31 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    made_tables(spark).append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made_tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``materialise`` has written in this application and nobody has dropped."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_wristwave_made"):
+        sc._wristwave_made = []
+    return sc._wristwave_made
+
+
+def drop_tables(spark: SparkSession, paths: list[str], keep_for: DataFrame | None = None) -> None:
+    """Delete stored tables through Spark's file system; those that ``keep_for`` reads stay."""
+    read = {f.split(":", 1)[-1].lstrip("/") for f in keep_for.inputFiles()} if keep_for is not None else set()
+    made = made_tables(spark)
+    for path in paths:
+        bare = path.split(":", 1)[-1].lstrip("/")
+        if any(f.startswith(bare) for f in read):
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in made:
+            made.remove(path)
