@@ -46,12 +46,28 @@ def test_number_rows(spark):
     assert (got["i"] == got["o"]).all() and len(got) == 520
 
 
-def test_exact_percentiles_with_duplicates(spark):
+@pytest.mark.parametrize("bits", [8, 16])
+def test_exact_percentiles(spark, bits):
+    """Duplicates, one and two rows, both zeros, signs, infinities and values of every size."""
     rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"g": ["a"] * 5000 + ["b"] * 7, "v": np.r_[np.round(rng.normal(size=5000), 2), np.arange(7.0)]})
-    got = ck.exact_percentiles(spark.createDataFrame(pdf), ["g"], "v", [0.0, 0.25, 0.5, 0.9, 1.0], accuracy=200).toPandas().set_index("g")
-    for g, part in pdf.groupby("g"):
-        assert np.allclose(got.loc[g, "q"], np.percentile(part["v"], [0, 25, 50, 90, 100]))
+    groups = {
+        "a": np.round(rng.normal(size=5000), 2), "b": np.arange(7.0), "c": [3.5], "d": [-1.0, 2.0], "e": [0.0, -0.0, 0.0, -0.0],
+        "f": np.r_[rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), np.full(200, -7e-310)], "g": np.r_[np.inf, -np.inf, np.arange(9.0)], "h": np.full(1000, 1 / 3),
+    }
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    pdf = pd.DataFrame([(g, float(x)) for g, v in groups.items() for x in v], columns=["g", "v"])
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("a", None)], "g string, v double"))
+    got = {r.g: r for r in ck.exact_percentiles(df.repartition(4), ["g"], "v", probs, bits).collect()}
+    for g, v in groups.items():
+        x, want = sorted(map(float, v)), []
+        for p in probs:
+            h = p * (len(x) - 1)
+            a, b = x[int(np.floor(h))], x[int(np.ceil(h))]
+            want.append(a if a == b else a + (b - a) * (h - np.floor(h)))
+        assert got[g].n == len(v) and np.allclose(got[g].q, want, rtol=1e-12, atol=0)
+    whole = ck.exact_percentiles(df.filter("g in ('a', 'b')"), [], "v", [0.5]).first()
+    assert whole.n == 5007 and whole.q == [np.median(np.r_[groups["a"], groups["b"]])]
+    assert ck.exact_percentiles(df.limit(0), ["g"], "v", probs).count() == 0
 
 
 def test_tracker_settles_like_one_pass(spark):

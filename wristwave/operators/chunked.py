@@ -18,6 +18,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -240,65 +242,63 @@ def longest_run(df: DataFrame, keys: list[str], order: str, flag: Column, size:
 
 
 # ---------------------------------------------------------------- exact percentiles
-def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10000
-) -> DataFrame:
-    """Exact linear-interpolation percentiles for groups of any size.
+def sortable(value: Column) -> Column:
+    """A long in the order of the doubles: the sign bit stays, other bits of negative numbers are turned round."""
+
+    @F.pandas_udf("long")
+    def bits(v: pd.Series) -> pd.Series:
+        b = (v.to_numpy(dtype=np.float64) + 0.0).view(np.int64)  # -0.0 becomes 0.0
+        return pd.Series(np.where(b < 0, b ^ np.int64(2**63 - 1), b))
+
+    return bits(value.cast("double"))
+
+
+def unsorted(key: Column) -> Column:
+    """The double of a ``sortable`` long."""
+
+    @F.pandas_udf("double")
+    def value(k: pd.Series) -> pd.Series:
+        b = k.to_numpy(dtype=np.int64)
+        return pd.Series(np.where(b < 0, b ^ np.int64(2**63 - 1), b).view(np.float64))
+
+    return value(key)
+
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a bounded
-    sketch first brackets each rank; the rows below a bracket are only counted and the
-    few inside it are ranked. Output: keys, ``q`` (array aligned with ``probs``), ``n``.
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bits: int = 16) -> DataFrame:
+    """Exact linear-interpolation percentiles for groups of any size, by radix selection.
+
+    Doubles become longs of the same order, stored once. A pass counts the rows of each group by their leading digit
+    (``bits`` bits; counted in the tasks first), running sums tell which digit holds a sought rank, and the next
+    pass counts the following digit of the rows that share it. After 64 / ``bits`` passes the digits are the value. A
+    group never has more than 2 ** ``bits`` counts a rank, and no row is moved or ranked. NULLs are left out, NaN is the
+    largest value. Output: keys, ``q`` (array aligned with ``probs``), ``n``.
     """
-    v = F.col(value)
-    data = df.filter(v.isNotNull()).select(*keys, v.cast("double").alias("_v"))
     k = keys or ["_all"]
-    if not keys:
-        data = data.withColumn("_all", F.lit(1))
-    slack = 4.0 / accuracy
-    lows = [max(0.0, p - slack) for p in probs]
-    highs = [min(1.0, p + slack) for p in probs]
-    sketch = data.groupBy(*k).agg(
-        F.count("_v").alias("n"),
-        F.percentile_approx("_v", lows, accuracy).alias("_lo"),
-        F.percentile_approx("_v", highs, accuracy).alias("_hi"),
-        F.min("_v").alias("_mn"),
-        F.max("_v").alias("_mx"),
-    )
-    brackets = sketch.select(
-        *k, "n",
-        F.posexplode(F.arrays_zip(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-                                  F.array(*[F.lit(float(p)) for p in probs]).alias("p"))).alias("_j", "_b"),
-        "_mn", "_mx",
-    ).select(
-        *k, "n", "_j", F.col("_b.p").alias("_p"),
-        # up to ``accuracy`` rows a group is ranked whole; beyond, the slack spans four ranks or more
-        F.when((F.col("n") <= accuracy) | (F.col("_b.p") <= slack), F.col("_mn")).otherwise(F.col("_b.lo")).alias("_from"),
-        F.when((F.col("n") <= accuracy) | (F.col("_b.p") >= 1 - slack), F.col("_mx")).otherwise(F.col("_b.hi")).alias("_to"),
-    )
-    counts = data.groupBy(*k, "_v").agg(F.count("*").alias("_c"))
-    placed = counts.join(brackets, k)
-    below = placed.groupBy(*k, "_j").agg(
-        F.sum(F.when(F.col("_v") < F.col("_from"), F.col("_c")).otherwise(0)).alias("_below")
-    )
-    inside = placed.filter((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to")))
-    w = W.partitionBy(*k, "_j").orderBy("_v")
-    ranked = (
-        inside.withColumn("_cum", F.sum("_c").over(w))
-        .join(below, [*k, "_j"])
-        .withColumn("_upto", F.col("_below") + F.col("_cum"))
-        .withColumn("_h", F.col("_p") * (F.col("n") - 1))
-    )
-    # a value covers the 0-based ranks [_upto - _c, _upto - 1]
-    covers = lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto"))
-    picked = ranked.groupBy(*k, "n", "_j").agg(
-        F.max("_h").alias("_h"),
-        F.max(F.when(covers(F.floor("_h")), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers(F.ceil("_h")), F.col("_v"))).alias("_b"),
-    )
-    frac = F.col("_h") - F.floor("_h")
-    return (
-        picked.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
-        .groupBy(*k, "n")
-        .agg(F.array_sort(F.collect_list(F.struct("_j", "_q"))).alias("_s"))
-        .select(*keys, F.expr("transform(_s, s -> s._q)").alias("q"), "n")
-    )
+    data = df.filter(F.col(value).isNotNull()).withColumns({} if keys else {"_all": F.lit(1)})
+    data = materialise(data.select(*k, sortable(F.col(value)).alias("_k")), "percentile-keys")
+    lead = lambda i: F.shiftright("_k", 64 - bits * i)
+
+    def found(counts: DataFrame, sought: DataFrame, on: list[str], label: str) -> DataFrame:
+        """The digits that hold the sought ranks, and the ranks inside them."""
+        upto = F.sum("_c").over(W.partitionBy(*on).orderBy("_digits"))
+        placed = counts.withColumn("_upto", upto).withColumn("_lo", F.col("_upto") - F.col("_c"))
+        met = sought.join(placed, on).filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_upto")))
+        return materialise(met.select(*k, "n", "_j", "_side", (F.col("_rank") - F.col("_lo")).alias("_rank"), F.col("_digits").alias("_p")), label)
+
+    counts = materialise(data.groupBy(*k, lead(1).alias("_digits")).agg(F.count(F.lit(1)).alias("_c")), "percentile-counts")
+    place = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    ranks = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(side).alias("_side"), cut(place(p)).cast("long").alias("_rank"))
+                      for j, p in enumerate(probs) for side, cut in enumerate((F.floor, F.ceil))])
+    sought = counts.groupBy(*k).agg(F.sum("_c").alias("n")).select(*k, "n", F.explode(ranks).alias("_r")).select(*k, "n", "_r.*")
+    sought = found(counts, sought, k, "percentile-digits")
+    for i in range(2, 64 // bits + 1):
+        open_ = sought.select(*k, "_p").distinct()
+        held = data.withColumn("_p", lead(i - 1)).join(open_, [*k, "_p"])
+        counts = held.groupBy(*k, "_p", lead(i).alias("_digits")).agg(F.count(F.lit(1)).alias("_c"))
+        sought = found(counts, sought, [*k, "_p"], "percentile-digits")
+    ends = sought.groupBy(*k, "n", "_j").agg(F.max(F.when(F.col("_side") == 0, F.col("_p"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_p"))).alias("_b"))
+    ends = ends.withColumns({"_a": unsorted(F.col("_a")), "_b": unsorted(F.col("_b"))})
+    h = F.element_at(F.array(*[place(p) for p in probs]), F.col("_j") + 1)
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (h - F.floor(h))
+    q = ends.select(*k, "n", "_j", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias("_q"))
+    return q.groupBy(*k, "n").agg(F.array_sort(F.collect_list(F.struct("_j", "_q"))).alias("_s")).select(*keys, F.expr("transform(_s, s -> s._q)").alias("q"), "n")
