@@ -6,12 +6,15 @@ watermark. The same functions accept a batch DataFrame where no state is involve
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from wristwave.session import materialise
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -37,33 +40,88 @@ def window_quality(stream: DataFrame, valid: Column, expected: int, delay: str =
                     (miss / expected).alias("missing_ratio"), (miss / expected <= max_ratio).alias("reliable"))
 
 
-def tracker(stream: DataFrame, range_hz: float, limit_bpm: float, step_bpm: float) -> DataFrame:
-    """ST3: slew-limited tracker keyed by recording; state = last rate.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Tracker(StatefulProcessor):
+    """Windows of one recording wait, in any order, until the watermark passes them; then they move the rate in order.
 
-    Input rows: recording, window_idx, freqs (by amplitude), reset. A micro-batch of one key is
-    bounded by the trigger; windows of a key are taken in order.
+    State is the rate with the time it is of, and the windows that wait: those younger than the watermark, so the delay
+    bounds them. A timer stands at the oldest window that waits, another where a recording has been silent for ``idle``;
+    that one forgets the rate. All times are event times, so a replay gives the same rates.
     """
-    limit, step = limit_bpm / 60, step_bpm / 60
 
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        prev = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("window_idx")
+    def __init__(self, range_hz: float, limit_hz: float, step_hz: float, idle_ms: int):
+        self.range_hz, self.limit, self.step, self.idle = range_hz, limit_hz, step_hz, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rate = handle.getValueState("rate", "hr double, at long")
+        self.waiting = handle.getListState("waiting", "at long, window_idx long, freqs array<double>, reset boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            at = (batch["ts"].astype("datetime64[us, UTC]" if batch["ts"].dt.tz else "datetime64[us]").astype("int64") // 1000).tolist()
+            freqs = [[float(f) for f in x] for x in batch["freqs"]]
+            self.waiting.appendList(list(zip(at, batch["window_idx"].tolist(), freqs, batch["reset"].tolist())))
+            self.handle.registerTimer(min(at))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        due, later = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        hr, last = self.rate.get() if self.rate.exists() else (None, None)
+        if not due:
+            if last is not None and last + self.idle <= now and not later:
+                self.rate.clear()
+            return
         out = []
-        for freqs, reset in zip(rows["freqs"], rows["reset"]):
-            raw = float(freqs[0]) if len(freqs) else 0.0
-            if prev is None or reset:
-                prev = raw
-            else:
-                near = [f for f in freqs[:5] if -range_hz < f - prev < range_hz]
-                target = float(near[0]) if near else prev
-                prev = prev + step if target - prev > limit else prev - step if target - prev < -limit else target
-            out.append(prev)
-        state.update((prev,))
-        yield pd.DataFrame({"recording": key[0], "window_idx": rows["window_idx"].to_numpy(), "hr": out})
-
-    return stream.groupBy("recording").applyInPandasWithState(
-        advance, "recording bigint, window_idx bigint, hr double", "hr double", "append", GroupStateTimeout.NoTimeout
-    )
+        for at, window, freqs, reset in due:
+            if last is not None and last + self.idle <= at:
+                hr = None
+            hr, last = self.moved(hr, freqs, reset), at
+            out.append((key[0], window, hr))
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0])
+        self.rate.update((hr, last))
+        self.handle.registerTimer(last + self.idle)
+        yield pd.DataFrame(out, columns=["recording", "window_idx", "hr"])
+
+    def moved(self, prev: float | None, freqs: list[float], reset: bool) -> float:
+        if prev is None or reset:
+            return freqs[0] if freqs else 0.0
+        target = next((f for f in freqs[:5] if -self.range_hz < f - prev < self.range_hz), prev)
+        return prev + self.step if target - prev > self.limit else prev - self.step if target - prev < -self.limit else target
+
+    def close(self) -> None:
+        pass
+
+
+def tracker(stream: DataFrame, range_hz: float, limit_bpm: float, step_bpm: float, delay: str = "2 seconds", idle_s: float = 3600.0) -> DataFrame:
+    """ST3: slew-limited tracker keyed by recording, for windows that come in any order.
+
+    Input rows: recording, window_idx, ts, freqs (by amplitude), reset. A window is tracked once the watermark has passed
+    it; windows that come after that are dropped. The session's state store has to be the one on disk, see ``on_disk``.
+    """
+    out = "recording bigint, window_idx bigint, hr double"
+    late = stream.select("recording", "window_idx", "ts", "freqs", "reset").withWatermark("ts", delay)
+    processor = Tracker(range_hz, limit_bpm / 60, step_bpm / 60, int(idle_s * 1000))
+    return late.groupBy("recording").transformWithStateInPandas(processor, out, "append", "eventTime")
+
+
+@contextmanager
+def on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in the store on disk, which timers and lists need."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
 
 
 def run_to_files(stream: DataFrame, path: str) -> str:
@@ -76,10 +134,15 @@ def run_to_files(stream: DataFrame, path: str) -> str:
     return f"{path}/data"
 
 
-def file_stream(spark: SparkSession, table: DataFrame, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Write a table once and read it back as a stream of files."""
-    table.write.parquet(path)
-    reader = spark.readStream.schema(table.schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+def file_stream(spark: SparkSession, table: DataFrame, path: str, arrival: Column | None = None, batches: int = 1) -> DataFrame:
+    """Write a table once and read it back as a stream of files.
+
+    ``arrival``: the number of the trigger (from 0, under ``batches``) that a row comes with; one file a trigger.
+    """
+    if arrival is None:
+        table.write.parquet(path)
+        return spark.readStream.schema(table.schema).parquet(path)
+    kept = materialise(table.withColumn("_arrival", arrival), "arrivals")
+    for b in range(batches):  # one after the other: files are taken in the order of their times
+        kept.filter(F.col("_arrival") == b).drop("_arrival").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
