@@ -128,16 +128,41 @@ def g11(spark, sf):
     return prof.select("recording", "tier", "group", "confident", "fallback", "min_lag", "max_lag")
 
 
-def _one_filter(spark, sf, kind, m=5, k=1):
-    f = sg.adaptive_filter(kind)
-    wins = _wins(spark, sf, ["ppg", "accx"])
-    e = f("ppg", "accx", F.lit(0.5), F.lit(m), F.lit(k))
-    wins = wins.select("recording", "window_idx", e.alias("e"))
-    return wins.select("recording", "window_idx", F.size("e").alias("n"), F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
-
-
+def _filtered(wins, kind, m=5, k=1, first=0, length=None):
+    """Residual of every sample of a window, numbered from 0."""
+    e = sg.adaptive_filter(kind)("ppg", "accx", F.lit(0.5), F.lit(m), F.lit(k))
+    wins = wins.select("recording", "window_idx", e.alias("e")).withColumn("e", F.slice("e", first + 1, length) if length else F.col("e"))
+    return wins.select("recording", "window_idx", F.posexplode("e").alias("i", "e")).select("recording", "window_idx", "i", r("e", 6).alias("e"))
+
+
+def _filter_sql(x, size, first, gain, out, n=WIN, start=25, cut=0):
+    """A recursion over the steps of all windows at once: ``x`` are the taps of step i + 1, ``gain`` what they are weighted with."""
+    k0, k1 = f"(sample_idx - {start} - {n - 1} + {STEP - 1}) // {STEP}", f"(sample_idx - {start}) // {STEP} + 1"
+    z = lambda c: f"CASE WHEN list_stddev_samp({c}) > 1e-12 THEN list_transform({c}, lambda v: (v - list_avg({c})) / list_stddev_samp({c})) ELSE list_transform({c}, lambda v: v - list_avg({c})) END"
+    return f"""WITH RECURSIVE cut AS (SELECT recording, sample_idx, ppg, accx, unnest(range(greatest(0, {k0})::BIGINT, ({k1})::BIGINT)) AS window_idx FROM sensor WHERE sample_idx >= {start}),
+win AS (SELECT recording, window_idx, list(ppg ORDER BY sample_idx) AS ppg, list(accx::DOUBLE ORDER BY sample_idx) AS accx FROM cut GROUP BY 1, 2 HAVING count(*) = {n}),
+z AS MATERIALIZED (SELECT recording, window_idx, {z('ppg')} AS d, {z('accx')} AS u FROM win),
+st AS (SELECT recording, window_idx, -1 AS i, list_transform(range({size}), lambda q: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS err FROM z UNION ALL
+ SELECT recording, window_idx, i + 1, list_transform(range({size}), lambda q: w[q + 1] + g * x[q + 1]), err FROM (SELECT *, {gain} AS g FROM (SELECT *, d[i + {first + 2}] - list_dot_product(w, x) AS err FROM (
+  SELECT st.recording, st.window_idx, st.i, st.w, z.d, {x} AS x FROM st JOIN z ON z.recording = st.recording AND z.window_idx = st.window_idx WHERE st.i + 2 + 5 <= {n})))),
+told AS (SELECT recording, window_idx, unnest(range({n})) AS i, d FROM z)
+SELECT told.recording, told.window_idx, (told.i - {cut})::INT AS i, {rq(out, 6)} AS e FROM told LEFT JOIN st ON st.recording = told.recording AND st.window_idx = told.window_idx AND st.i >= 0 AND st.i + {first} = told.i WHERE told.i >= {cut}"""
+
+
+_TAPS = "list_reverse(z.u[st.i + 2:st.i + 7])"  # m + k = 6 of them
+_QUAD = "list_reverse(z.u[st.i + 4:st.i + 7])"  # of four taps all products
+_PRODUCTS = f"list_concat({_TAPS}, [" + ", ".join(f"({_QUAD})[{a + 1}] * ({_QUAD})[{b + 1}]" for a in range(4) for b in range(a + 1)) + "])"
+_LMS = _filter_sql(_TAPS, 6, 4, "0.01::DOUBLE * err", "coalesce(err, 0)").replace("WHERE told.i >= 0", "WHERE told.i < 199")
+_NLMS = "0.005::DOUBLE * err / (list_dot_product(x, x) + 1e-9)"
+
+
+_FILTER_SQL = {
+    "g12_linear_lms": _LMS,
+    "g14_volterra_lms": _filter_sql(_PRODUCTS, 16, 4, "0.01::DOUBLE * err", "coalesce(err, 0)"),
+    "g15_noncausal_lms": _filter_sql(_TAPS, 6, 4, _NLMS, "coalesce(err, told.d[told.i + 1])"),
+}
 for _name, _kind in [("g12_linear_lms", "lms"), ("g13_kernel_lms", "klms"), ("g14_volterra_lms", "volterra"), ("g15_noncausal_lms", "noncausal_lms"), ("g16_fourier_lms", "rff_lms")]:
-    query(_name)(lambda spark, sf, _k=_kind: _one_filter(spark, sf, _k))
+    query(_name, _FILTER_SQL.get(_name), ("sensor",))(lambda spark, sf, _k=_kind: _filtered(_wins(spark, sf, ["ppg", "accx"]), _k))
 
 
 @query("g17_adaptive_cascade")
@@ -268,15 +293,11 @@ def g23(spark, sf):
     return out.select("label", "vec_id", r("hr", 8).alias("hr"))
 
 
-@query("w31_prewarm_window")
+@query("w31_prewarm_window", _filter_sql(_TAPS, 6, 4, _NLMS, "coalesce(err, told.d[told.i + 1])", WIN + 100, 0, 100), ("sensor",))
 def w31(spark, sf):
     """Filter four extra seconds before each window, keep the last eight; design from the target only."""
     pre = 100
-    wins = w.window_arrays(t.sensor(spark, sf), ["ppg", "accx"], WIN + pre, STEP)
-    f = sg.adaptive_filter("noncausal_lms")
-    e = f("ppg", "accx", F.lit(0.5), F.lit(5), F.lit(1))
-    out = wins.select("recording", "window_idx", F.slice(e, pre + 1, WIN).alias("e"))
-    return out.select("recording", "window_idx", F.size("e").alias("n"), F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+    return _filtered(w.window_arrays(t.sensor(spark, sf), ["ppg", "accx"], WIN + pre, STEP), "noncausal_lms", first=pre, length=WIN)
 
 
 @query("a13_magnitude_features")
