@@ -6,14 +6,18 @@ any length is cleaned by many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wristwave.functions.scalars import bridge_ratio, drop_negative, numeric
-from wristwave.operators.chunked import CHUNK, Carry, carried, chunk_col, exact_percentiles, rolling, with_totals
+from wristwave.operators.chunked import CHUNK, Carry, carried, chunk_col, exact_percentiles, with_halo, with_totals
 
 KEYS = ["recording"]
 IDX = "sample_idx"
+#: Samples of a recording that are judged for outliers together.
+FRAME = 4096
 
 
 def neighbours(
@@ -63,29 +67,56 @@ def fill_linear_nearest(df, exprs, keys=KEYS, order=IDX, size=CHUNK):
     return _fill(df, exprs, rule, keys, order, size)
 
 
+def outliers(before: int, after: int, threshold: float):
+    """Array of a frame's samples -> which of them lie more than ``threshold`` * 1.4826 * MAD from the moving median.
+
+    Both medians come from sorted windows of the whole frame at once; missing samples and those beyond an end of the
+    recording are left out of them.
+    """
+
+    def medians(x: np.ndarray) -> np.ndarray:
+        wide = np.full(len(x) + before + after, np.inf)
+        wide[before : before + len(x)] = np.where(np.isnan(x), np.inf, x)
+        rows = np.sort(np.lib.stride_tricks.sliding_window_view(wide, before + after + 1), axis=1)
+        n = np.isfinite(rows).sum(axis=1)
+        at = np.arange(len(x))
+        low, high = rows[at, np.maximum(n - 1, 0) // 2], rows[at, np.minimum(n // 2, before + after)]
+        return np.where(n > 0, 0.5 * low + 0.5 * high, np.nan)
+
+    @F.pandas_udf("array<boolean>")
+    def run(frames: pd.Series) -> pd.Series:
+        out = []
+        for f in frames:
+            x = np.asarray(f, dtype=np.float64)
+            with np.errstate(invalid="ignore"):
+                d = np.abs(x - medians(x))
+                mad = medians(d) * 1.4826
+                out.append((mad > 0) & (d > mad * threshold))
+        return pd.Series(out)
+
+    return run
+
+
 def moving_median_outliers(df, cols: list[str], window: int, threshold: float = 3.0, keys=KEYS, order=IDX) -> DataFrame:
-    """|x - med| > threshold * 1.4826 * MAD over a centred frame, then refill; ``<col>_replaced`` marks them."""
-    med = lambda c: (lambda w: F.percentile(F.col(c), 0.5).over(w.frame))
+    """|x - med| > threshold * 1.4826 * MAD over a centred frame, then refill; ``<col>_replaced`` marks them.
+
+    Frames of samples with as many neighbours on both sides as two windows reach carry all columns as arrays, so every
+    channel is judged in one pass over Arrow batches.
+    """
     before, after = window // 2, (window - 1) // 2
-    dev = {f"_d_{c}": (lambda c: lambda w: F.abs(F.col(c) - F.col(f"_m_{c}")))(c) for c in cols}
-    out = rolling(
-        df, keys, order,
-        [
-            {**{f"_m_{c}": med(c) for c in cols}},
-            {**dev},
-            {f"_s_{c}": med(f"_d_{c}") for c in cols},
-        ],
-        before, after,
+    bad = outliers(before, after, threshold)
+    every = [order, *[c for c in df.columns if c not in (*keys, order)]]
+    packed = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(every)])
+    frames = (
+        with_halo(df, order, FRAME, 2 * before, 2 * after).withColumn("_p", F.struct(packed.alias("v"), F.col("_core").alias("core")))
+        .groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list("_p")).alias("_r"), F.max("_core").alias("_any")).filter("_any")
     )
-    kept, marks = {}, {}
-    for c in cols:
-        mad = F.col(f"_s_{c}") * 1.4826
-        bad = (mad > 0) & (F.col(f"_d_{c}") > mad * threshold)
-        marks[f"{c}_replaced"] = F.coalesce(bad, F.lit(False))
-        kept[c] = F.when(~marks[f"{c}_replaced"], F.col(c))
-    out = out.withColumns(marks)
-    filled = fill_linear_nearest(out, kept, keys, order)
-    return filled.drop(*[f"_{p}_{c}" for c in cols for p in "mds"])
+    channel = lambda c: F.col("_r.v")[f"_{every.index(c)}"].cast("array<double>")
+    marks = {f"_bad{i}": bad(channel(c)) for i, c in enumerate(cols)}
+    rows = frames.select(*keys, "_r", *[m.alias(n) for n, m in marks.items()])
+    flat = rows.select(*keys, F.explode(F.arrays_zip("_r", *marks)).alias("_s")).filter("_s._r.core")
+    out = flat.select(*keys, *[F.col(f"_s._r.v._{i}").alias(c) for i, c in enumerate(every)], *[F.col(f"_s._bad{i}").alias(f"{c}_replaced") for i, c in enumerate(cols)])
+    return fill_linear_nearest(out, {c: F.when(~F.col(f"{c}_replaced"), F.col(c)) for c in cols}, keys, order)
 
 
 def mean_outliers_previous(df, cols: list[str], threshold: float = 3.0, keys=KEYS, order=IDX) -> DataFrame:

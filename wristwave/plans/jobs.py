@@ -84,7 +84,8 @@ class HrResult(NamedTuple):
 # ---------------------------------------------------------------- shared stages
 def condition(samples: DataFrame, cols: list[str], p: HrParams, keys: list[str]) -> DataFrame:
     """Gaps, outliers, resampling and band-pass; stored once because several stages read it."""
-    whole = clean.clean_signal(samples.select(*keys, "sample_idx", *cols), cols, p.fs_origin, keys)
+    # stored: totals and carries read it again
+    whole = materialise(clean.clean_signal(samples.select(*keys, "sample_idx", *cols), cols, p.fs_origin, keys), "cleaned")
     ready = clean.mean_outliers_previous(whole, ["ppg"], keys=keys)
     if p.fs_origin != p.fs_target:
         ready = sg.resample(ready, cols, p.fs_target, p.fs_origin, keys=keys)
