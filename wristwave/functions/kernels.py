@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -309,12 +311,19 @@ def noncausal_lms(u, d, m, k, mu):
     return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
 
 
+# The draws of random Fourier features as published (Rahimi and Recht, 2007): directions from a normal
+# distribution of standard deviation 1 / sigma, phases uniform over a full turn, in this order from one generator.
+@lru_cache(maxsize=64)
+def fourier_features(size: int, span: int, sigma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size, span) directions and (size,) phases."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, 1.0 / sigma, (size, span)), rng.uniform(0.0, 2.0 * np.pi, size)
+
+
 def fourier_lms(u, d, m, k, mu, size=100, sigma=1.0, seed=42):
-    """LMS on cosine features of the tap vector, whose directions and phases are drawn from ``seed``; keeps the length."""
+    """LMS on cosine features of the tap vector (``fourier_features``); keeps the length."""
     d, first, x = _forward_span(u, d, m, k)
-    draw = np.random.default_rng(seed % 2**32)
-    directions = draw.standard_normal((size, m + k)) / max(sigma, 1e-6)
-    phases = 2 * np.pi * draw.random(size)
+    directions, phases = fourier_features(size, m + k, sigma, seed)
     out, theta = d.copy(), np.zeros((len(d), size))
     scale = np.sqrt(2.0 / size)
     for i in range(x.shape[1]):

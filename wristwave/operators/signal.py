@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wristwave.functions import kernels as kn
 from wristwave.operators.chunked import chunk_col, with_halo
+from wristwave.session import ship
 
 KEYS = ["recording"]
 IDX = "sample_idx"
@@ -248,25 +249,58 @@ def lag_correlation(pad: int, partial: bool = False):
     return run
 
 
+def _residuals(kinds, d, u, corr, m, k, mu_base: float, options: dict) -> list:
+    """One residual a row; rows of the same filter, lengths and taps run as one matrix."""
+    out, groups = [None] * len(d), defaultdict(list)
+    for i, (name, x, y, mm, kk) in enumerate(zip(kinds, d, u, m, k)):
+        if name is not None and x is not None and y is not None:
+            groups[(name, len(x), len(y), int(mm), int(kk))].append(i)
+    for (name, _, _, mm, kk), rows in groups.items():
+        for i, e in zip(rows, _filter(name)(name, _stack(u, rows), _stack(d, rows), mm, kk, mu_base, corr.to_numpy(float)[rows], options)):
+            out[i] = e
+    return out
+
+
 def adaptive_filter(kind: str, mu_base: float = 0.01, **options):
-    """G12-G16 as a column function: (d, u, corr, m, k) -> array. Registered names work in SQL."""
+    """G12-G16 as a column function: (d, u, corr, m, k) -> array. For SQL see ``register_functions``."""
+    _check(options)
 
     @F.pandas_udf("array<double>")
     def run(d: pd.Series, u: pd.Series, corr: pd.Series, m: pd.Series, k: pd.Series) -> pd.Series:
-        out = [None] * len(d)
-        groups = defaultdict(list)
-        for i, (x, y, mm, kk) in enumerate(zip(d, u, m, k)):
-            if x is not None:
-                groups[(len(x), len(y), mm, kk)].append(i)
-        for (_, _, mm, kk), rows in groups.items():
-            e = _filter(kind)(kind, _stack(u, rows), _stack(d, rows), int(mm), int(kk), mu_base, corr.to_numpy(float)[rows], options)
-            for i, y in zip(rows, e):
-                out[i] = y
-        return pd.Series(out)
+        return pd.Series(_residuals([kind] * len(d), d, u, corr, m, k, mu_base, options))
 
     return run
 
 
+def filter_by_type(mu_base: float = 0.01, **options):
+    """G12-G16 with the filter as data: (filter_type, d, u, corr, m, k) -> array; rows of a batch are grouped by their filter."""
+    _check(options)
+
+    @F.pandas_udf("array<double>")
+    def run(kind: pd.Series, d: pd.Series, u: pd.Series, corr: pd.Series, m: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(_residuals(kind, d, u, corr, m, k, mu_base, options))
+
+    return run
+
+
+def _check(options: dict) -> None:
+    if options.get("rff_size", 1) < 1 or options.get("rff_sigma", 1.0) <= 0:
+        raise ValueError("random features need rff_size of at least 1 and rff_sigma above 0")
+
+
+def register_functions(spark, fs: float, mu_base: float = 0.01, **options) -> None:
+    """Window functions by name for SQL text, for windows of ``fs`` samples a second.
+
+    adaptive_filter(filter_type, d, u, corr, m, k), amplitude_spectrum(x), spectral_peaks(x), ppg_beats(red, ir): arrays
+    or structs of arrays, to be unfolded by LATERAL VIEW. A filter added by ``register_filter`` before is known by its name.
+    """
+    ship(spark)
+    for name, fn in {
+        "adaptive_filter": filter_by_type(mu_base, **options), "amplitude_spectrum": amplitude_spectrum(), "spectral_peaks": spectral_peaks(fs), "ppg_beats": segment_beats(fs),
+    }.items():
+        spark.udf.register(name, fn)
+
+
 def _filter(name: str):
     if name not in _FILTERS:
         raise ValueError(f"no adaptive filter is registered as {name!r}; there are {sorted(_FILTERS)}")
@@ -284,12 +318,12 @@ def _step(mu_base, corr):
 
 #: Filters by name; each takes its own step rule and options.
 _FILTERS: dict = {
-    "volterra": lambda _, u, d, m, k, mu, c, o: kn.volterra_lms(u, d, m, o.get("volterra_order", 3), k, _step(mu, c)),
-    "rff_lms": lambda _, u, d, m, k, mu, c, o: kn.fourier_lms(
-        u, d, m, k, np.maximum(o.get("mu_min", 1e-6), _step(mu, c)), o.get("rff_size", 100), o.get("rff_sigma", 1.0), o.get("rff_seed", 42)),
-    "noncausal_lms": lambda _, u, d, m, k, mu, c, o: kn.noncausal_lms(u, d, m, k, np.maximum(o.get("mu_min", 1e-6), _step(mu, c))),
     "klms": lambda _, u, d, m, k, mu, c, o: kn.kernel_lms(u, d, m, k, o.get("klms_step", 0.1), o.get("klms_sigma", 1.0), o.get("klms_epsilon", 0.1)),
     "lms": lambda _, u, d, m, k, mu, c, o: kn.lms(u, d, m, k, _step(mu, c)),
+    "noncausal_lms": lambda _, u, d, m, k, mu, c, o: kn.noncausal_lms(u, d, m, k, np.maximum(o.get("mu_min", 1e-6), _step(mu, c))),
+    "rff_lms": lambda _, u, d, m, k, mu, c, o: kn.fourier_lms(
+        u, d, m, k, np.maximum(o.get("mu_min", 1e-6), _step(mu, c)), o.get("rff_size", 100), o.get("rff_sigma", 1.0), o.get("rff_seed", 42)),
+    "volterra": lambda _, u, d, m, k, mu, c, o: kn.volterra_lms(u, d, m, o.get("volterra_order", 3), k, _step(mu, c)),
 }
 
 

@@ -8,7 +8,7 @@ from wristwave.plans.registry import ORACLES, QUERIES
 
 _MODULES = [
     "scalars", "cleaning", "sequences", "statistics", "alignment", "ranking",
-    "signals", "learning", "io", "jobs", "live",
+    "signals", "sqltext", "learning", "io", "jobs", "live",
 ]
 
 
