@@ -7,6 +7,7 @@ those arrays, stack equal shapes into matrices and run one NumPy helper per matr
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wristwave.functions import kernels as kn
-from wristwave.operators.chunked import chunk_col, with_halo
+from wristwave.functions.scalars import numeric
+from wristwave.operators.chunked import CHUNK, chunk_col, with_halo, with_totals
+from wristwave.operators.clean import fill_linear_nearest
 from wristwave.session import ship
 
 KEYS = ["recording"]
@@ -446,40 +449,39 @@ def beat_ratio(df: DataFrame, r_min: float = 0.05, r_max: float = 3.0) -> DataFr
     return out.withColumn("r", r).filter((F.col("r") > r_min) & (F.col("r") < r_max))
 
 
-def polynomial_residual(df: DataFrame, cols: list[str], n: int, degree: int, keys=KEYS, order=IDX) -> DataFrame:
-    """Residual of a least-squares polynomial on the grid 0..n-1 (bounded preview windows).
+def polynomial_residual(df: DataFrame, cols: list[str], degree: int, n: int | None = None, keys=KEYS, order=IDX) -> DataFrame:
+    """Residual of a least-squares polynomial over whole recordings, or over a grid of ``n`` samples.
 
-    Orthogonal (Gram) polynomials come from their three-term recurrence as expressions, so
-    the fit is ``degree + 1`` sums per group.
+    Orthogonal (Gram) polynomials come from their three-term recurrence as expressions of the sample and the recording's
+    length, and their norms from the same coefficients, so the fit is ``degree + 1`` sums a channel: summed per chunk, then
+    over the chunks. Missing samples are interpolated first (ends held), as orthogonality needs every sample; their residual is
+    that of the interpolated value.
     """
-    x = F.col(order) - (n - 1) / 2.0
-    basis, norms = [F.lit(1.0), x], []
-    grid = np.arange(n) - (n - 1) / 2.0
-    g = [np.ones(n), grid]
-    for k in range(1, degree):
-        beta = k * k * (n * n - k * k) / (4.0 * (4 * k * k - 1))
+    chunk = chunk_col(order, CHUNK)
+    base = fill_linear_nearest(df, {c: numeric(F.col(c)) for c in cols}, keys, order)
+    if n is None:
+        base = with_totals(base, keys, chunk, {"_len": F.max(order) + 1}, {"_len": F.max("_len")})
+    size = (F.lit(n) if n is not None else F.col("_len")).cast("double")
+    x = F.col(order) - (size - 1) / 2.0
+    basis, norms = [F.lit(1.0), x], [size]
+    for k in range(1, degree + 1):
+        beta = k * k * (size * size - k * k) / (4.0 * (4 * k * k - 1))
+        norms.append(norms[-1] * beta)
         basis.append(x * basis[k] - basis[k - 1] * beta)
-        g.append(grid * g[k] - g[k - 1] * beta)
-    norms = [float((v * v).sum()) for v in g[: degree + 1]]
-    base = df.withColumns({f"_p{k}": basis[k] for k in range(degree + 1)})
-    aggs = [(F.sum(F.col(c) * F.col(f"_p{k}")) / norms[k]).alias(f"_{c}_{k}") for c in cols for k in range(degree + 1)]
-    coef = base.groupBy(*keys).agg(*aggs)
-    out = base.join(coef, keys)
-    res = {}
-    for c in cols:
-        fit = F.lit(0.0)
-        for k in range(degree + 1):
-            fit = fit + F.col(f"_{c}_{k}") * F.col(f"_p{k}")
-        res[f"{c}_res"] = F.col(c) - fit
-    out = out.withColumns(res)
-    return out.drop(*[f"_p{k}" for k in range(degree + 1)], *[f"_{c}_{k}" for c in cols for k in range(degree + 1)])
+    base = base.withColumns({f"_p{k}": basis[k] for k in range(degree + 1)})
+    names = [(c, k, f"_{c}_{k}") for c in cols for k in range(degree + 1)]
+    out = with_totals(base, keys, chunk, {name: F.sum(F.col(c) * F.col(f"_p{k}")) for c, k, name in names}, {name: F.sum(name) for _, _, name in names})
+    # a recording of no more samples than degrees is met exactly by the first of them
+    share = lambda k, name: F.when(norms[k] > 0, F.col(name) / norms[k]).otherwise(F.lit(0.0)) * F.col(f"_p{k}")
+    res = {f"{c}_res": reduce(lambda left, k: left - share(k, f"_{c}_{k}"), range(degree + 1), F.col(c)) for c in cols}
+    return out.withColumns(res).drop("_len", *[f"_p{k}" for k in range(degree + 1)], *[name for *_, name in names])
 
 
 def quality_check(df: DataFrame, a: str, b: str, n: int, profile: str, keys=KEYS, order=IDX) -> DataFrame:
     """A9 (``single``: degree 4, all reasons) and A10 (``dual``: degree 6, first reason) on the first ``n`` samples."""
     degree = 4 if profile == "single" else 6
     head = df.filter(F.col(order) < n)  # pushed to the scan; n rows per recording
-    res = polynomial_residual(head, [a, b], n, degree, keys, order)
+    res = polynomial_residual(head, [a, b], degree, n, keys, order)
     sd = res.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop(f"{a}_res").alias("std_a"), F.stddev_pop(f"{b}_res").alias("std_b"))
     far = lambda c, s: F.count_if(F.abs(f"{c}_res") > F.col(s) * 3.0)
     out = res.join(sd, keys).groupBy(*keys, "n", "std_a", "std_b").agg(far(a, "std_a").alias("out_a"), far(b, "std_b").alias("out_b"))

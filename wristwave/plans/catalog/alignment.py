@@ -83,13 +83,12 @@ def j5(spark, sf):
 
 @query(
     "j6_interval_join",
-    """SELECT a.recording, a.event_id, count(*) AS n, sum(p.bpm > 100)::BIGINT AS n_high FROM ref_hr a JOIN ref_hr p ON a.recording = p.recording AND p.t_s >= a.t_s AND p.t_s < a.t_s + 86400
-WHERE a.channel = 'signup' GROUP BY 1, 2""",
+    """SELECT a.recording, a.event_id, count(*) AS n, sum(p.bpm > 100)::BIGINT AS n_high FROM ref_hr a JOIN ref_hr p ON a.recording = p.recording AND p.t_s >= a.t_s AND p.t_s < a.t_s + 86400 GROUP BY 1, 2""",
     ("ref_hr",),
 )
 def j6(spark, sf):
     ref = t.ref_hr(spark, sf)
-    anchors = ref.filter("channel = 'signup'").select("recording", "event_id", F.col("t_s").alias("anchor_s"))
+    anchors = ref.select("recording", "event_id", F.col("t_s").alias("anchor_s"))
     pairs = al.interval_join(anchors, ref.select("recording", "t_s", "bpm"), ["recording"], "anchor_s", "t_s", DAY)
     return pairs.groupBy("recording", "event_id").agg(F.count("*").alias("n"), F.count_if(F.col("bpm") > 100).alias("n_high"))
 
@@ -171,7 +170,7 @@ def j11(spark, sf):
 
 LAG_SQL = """len AS (SELECT recording, count(*) AS n FROM sensor GROUP BY 1),
 wins AS (SELECT recording, k, k * 25 + 24 AS s FROM (SELECT *, unnest(range(0, greatest(0, (n - 224) // 25 + 1))) AS k FROM len WHERE n >= 224)),
-chn AS (SELECT recording, sample_idx, 'accx' AS channel, accx AS y FROM sensor UNION ALL SELECT recording, sample_idx, 'accy', accy FROM sensor),
+chn AS (SELECT recording, sample_idx, 'accx' AS channel, accx AS y FROM sensor UNION ALL SELECT recording, sample_idx, 'accy', accy FROM sensor UNION ALL SELECT recording, sample_idx, 'accz', accz FROM sensor),
 lg AS (SELECT unnest(range(-5, 6)) AS lag),
 pr AS (SELECT w.recording, w.k, lag, channel, x.ppg AS x, c.y FROM wins w JOIN sensor x ON x.recording = w.recording AND x.sample_idx >= s AND x.sample_idx < s + 200
  CROSS JOIN lg JOIN chn c ON c.recording = w.recording AND c.sample_idx = x.sample_idx + lag),
@@ -179,7 +178,7 @@ co AS (SELECT recording, k AS window_idx, channel, lag, CASE WHEN count(*) = 200
 
 
 def lag_table(spark, sf):
-    return al.lag_correlations(t.sensor(spark, sf), "ppg", ["accx", "accy"], list(range(-5, 6)), 200, 25, start=24)
+    return al.lag_correlations(t.sensor(spark, sf), "ppg", ["accx", "accy", "accz"], list(range(-5, 6)), 200, 25, start=24)
 
 
 @query("j12_lag_join", f"WITH {LAG_SQL} SELECT recording, window_idx, channel, lag::INT AS lag, {rq('c', 5)} AS corr FROM co", ("sensor",))

@@ -86,10 +86,11 @@ def g8(spark, sf):
 
 @query("g9_lag_correlation", f"WITH {LAG_SQL} SELECT recording, window_idx, channel, lag::INT AS lag, {rq('c', 5)} AS corr FROM co", ("sensor",))
 def g9(spark, sf):
-    wins = w.window_arrays(t.sensor(spark, sf), ["ppg", "accx", "accy"], WIN, STEP, 24, 5, ("accx", "accy"))
+    axes = ["accx", "accy", "accz"]
+    wins = w.window_arrays(t.sensor(spark, sf), ["ppg", *axes], WIN, STEP, 24, 5, tuple(axes))
     corr = sg.lag_correlation(5)
-    wide = wins.select("recording", "window_idx", *[corr("ppg", c, "pad_left").alias(c) for c in ("accx", "accy")])
-    both = wide.unpivot(["recording", "window_idx"], ["accx", "accy"], "channel", "cs")
+    wide = wins.select("recording", "window_idx", *[corr("ppg", c, "pad_left").alias(c) for c in axes])
+    both = wide.unpivot(["recording", "window_idx"], axes, "channel", "cs")
     out = both.select("recording", "window_idx", "channel", F.posexplode("cs").alias("p", "corr"))
     return out.select("recording", "window_idx", "channel", (F.col("p") - 5).alias("lag"), r("corr", 5).alias("corr"))
 
@@ -111,8 +112,8 @@ rep AS (SELECT recording, k, row_number() OVER (PARTITION BY recording ORDER BY
 @query(
     "g11_tiered_delay_profile",
     f"""WITH {_LAG20}, tiers(tier, lim, nwin) AS (VALUES (0, 5, 5), (1, 10, 10), (2, 15, 15), (3, 20, 20)),
-pc AS (SELECT co.recording, co.window_idx, channel, tier, lim, max(abs(c)) AS m, arg_min(lag, (-abs(c), lag)) AS delay FROM co JOIN rep ON rep.recording = co.recording AND rep.k = co.window_idx JOIN tiers ON rk <= nwin AND abs(lag) <= lim GROUP BY 1, 2, 3, 4, 5),
-grp AS (SELECT *, CASE channel WHEN 'accx' THEN 'HF' ELSE 'ACC' END AS g FROM pc), st AS (SELECT recording, tier, g, lim, count(*) FILTER (WHERE m >= 0.15::DOUBLE) AS confident, quantile_cont(delay, 0.25) FILTER (WHERE m >= 0.15::DOUBLE) AS q25,
+pc AS (SELECT co.recording, co.window_idx, CASE channel WHEN 'accx' THEN 'HF' ELSE 'ACC' END AS g, tier, lim, max(abs(c)) AS m, arg_min(lag, (-abs(c), channel, lag)) AS delay FROM co JOIN rep ON rep.recording = co.recording AND rep.k = co.window_idx JOIN tiers ON rk <= nwin AND abs(lag) <= lim GROUP BY 1, 2, 3, 4, 5),
+grp AS (SELECT * FROM pc), st AS (SELECT recording, tier, g, lim, count(*) FILTER (WHERE m >= 0.15::DOUBLE) AS confident, quantile_cont(delay, 0.25) FILTER (WHERE m >= 0.15::DOUBLE) AS q25,
  quantile_cont(delay, 0.5) FILTER (WHERE m >= 0.15::DOUBLE) AS med, quantile_cont(delay, 0.75) FILTER (WHERE m >= 0.15::DOUBLE) AS q75 FROM grp GROUP BY 1, 2, 3, 4),
 bb AS (SELECT *, floor(q25)::INT - 2 AS a1, ceil(q75)::INT + 2 AS b1, round_even(med, 0)::INT AS c FROM st),
 dd AS (SELECT *, greatest(-lim, CASE WHEN b1 - a1 < 6 THEN c - 3 ELSE a1 END) AS lo, least(lim, CASE WHEN b1 - a1 < 6 THEN c + 3 ELSE b1 END) AS hi FROM bb),
@@ -124,7 +125,7 @@ SELECT ff.recording, ff.tier, g AS "group", confident, fallback, min_lag::INT AS
 )
 def g11(spark, sf):
     s = t.sensor(spark, sf).withColumn("_mag", mag())
-    prof = delay_profile(s, "ppg", {"HF": ["accx"], "ACC": ["accy"]}, "_mag", FS, win=WIN, step=STEP, start=25, threshold=None)
+    prof = delay_profile(s, "ppg", {"HF": ["accx"], "ACC": ["accy", "accz"]}, "_mag", FS, win=WIN, step=STEP, start=25, threshold=None)
     return prof.select("recording", "tier", "group", "confident", "fallback", "min_lag", "max_lag")
 
 
@@ -184,27 +185,27 @@ def g18(spark, sf):
     return out.select("recording", "window_idx", "adaptive_applied", F.size("clean.red").alias("n"), F.size("stages").alias("n_stages"))
 
 
-_GRAM = lambda n, deg: ", ".join(
-    [f"i - {(n - 1) / 2.0}::DOUBLE AS p1, 1.0::DOUBLE AS p0"]
-    + [f"(i - {(n - 1) / 2.0}::DOUBLE) * p{k} - {k * k * (n * n - k * k) / (4.0 * (4 * k * k - 1))}::DOUBLE * p{k - 1} AS p{k + 1}" for k in range(1, deg)]
-)
+def _gram_sql(deg):
+    """Orthogonal polynomials of sample i on a grid of n."""
+    more = [f"(i - (n - 1) / 2.0::DOUBLE) * p{k} - {k * k} * (n * n - {k * k}) / {4.0 * (4 * k * k - 1)}::DOUBLE * p{k - 1} AS p{k + 1}" for k in range(1, deg)]
+    return ", ".join(["i - (n - 1) / 2.0::DOUBLE AS p1, 1.0::DOUBLE AS p0", *more])
 
 
-def _poly_sql(n, deg, cols):
+def _poly_sql(deg, cols):
     cf = ", ".join(f"sum({c} * p{k}) / sum(p{k} * p{k}) AS {c}_{k}" for c in cols for k in range(deg + 1))
     fit = lambda c: " - ".join([c] + [f"{c}_{k} * p{k}" for k in range(deg + 1)])
-    return f"""pb AS (SELECT recording, sample_idx AS i, {', '.join(cols)}, {_GRAM(n, deg)} FROM hd),
+    return f"""pb AS (SELECT recording, sample_idx AS i, {', '.join(cols)}, {_gram_sql(deg)} FROM hd),
 cf AS (SELECT recording, {cf} FROM pb GROUP BY 1), rs AS (SELECT pb.recording, i, {', '.join(f'{fit(c)} AS {c}_res' for c in cols)} FROM pb JOIN cf USING (recording))"""
 
 
-@query("g19_polynomial_detrend", f"WITH hd AS (SELECT recording, sample_idx, accx FROM sensor WHERE sample_idx < 250), {_poly_sql(250, 4, ['accx'])} SELECT recording, i AS sample_idx, {rq('accx_res')} AS residual FROM rs", ("sensor",))
+@query("g19_polynomial_detrend", f"WITH hd AS (SELECT recording, sample_idx, accx, count(*) OVER (PARTITION BY recording) AS n FROM sensor), {_poly_sql(4, ['accx'])} SELECT recording, i AS sample_idx, {rq('accx_res')} AS residual FROM rs", ("sensor",))
 def g19(spark, sf):
-    head = t.sensor(spark, sf).filter("sample_idx < 250").select("recording", "sample_idx", "accx")
-    return sg.polynomial_residual(head, ["accx"], 250, 4).select("recording", "sample_idx", r("accx_res").alias("residual"))
+    s = t.sensor(spark, sf).select("recording", "sample_idx", "accx")
+    return sg.polynomial_residual(s, ["accx"], 4).select("recording", "sample_idx", r("accx_res").alias("residual"))
 
 
 def _qc_sql(deg, body):
-    return f"""WITH hd AS (SELECT recording, sample_idx, accx / 8 AS a, accy * 40 AS b FROM sensor WHERE sample_idx < 250), {_poly_sql(250, deg, ['a', 'b'])},
+    return f"""WITH hd AS (SELECT recording, sample_idx, accx / 8 AS a, accy * 40 AS b, 250 AS n FROM sensor WHERE sample_idx < 250), {_poly_sql(deg, ['a', 'b'])},
 sd AS (SELECT recording, count(*) AS n, stddev_pop(a_res) AS sa, stddev_pop(b_res) AS sb FROM rs GROUP BY 1),
 o AS (SELECT sd.recording, n, sa, sb, count(*) FILTER (WHERE abs(a_res) > sa * 3) AS oa, count(*) FILTER (WHERE abs(b_res) > sb * 3) AS ob FROM sd JOIN rs ON rs.recording = sd.recording GROUP BY 1, 2, 3, 4)
 {body}"""
