@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wristwave.operators.align import shifted
 from wristwave.operators.chunked import exact_percentiles
 from wristwave.operators.windows import segment_labels
+from wristwave.session import materialise
 
 METHODS = ["lms_hf_bpm", "lms_acc_bpm", "fft_bpm", "fusion_hf_bpm", "fusion_acc_bpm"]
 
@@ -105,7 +106,7 @@ def lag_bounds(df: DataFrame, keys: list[str], lag: str, corr: str, lo: Column,
     )
 
 
-def signed_rank(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+def signed_rank(df: DataFrame, a: str, b: str, keys: list[str], ties: str | None = None) -> DataFrame:
     """Wilcoxon signed-rank, average ranks, zero differences dropped, normal approximation with tie correction.
 
     Ranks come from a count per distinct |difference| and a running total over those counts.
@@ -124,9 +125,36 @@ def signed_rank(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     )
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
-    return g.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn(
-        "z", (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(var)
-    ).drop("_ties")
+    out = g.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("z", (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(var))
+    return out.withColumnRenamed("_ties", ties) if ties else out.drop("_ties")
+
+
+#: Up to so many differences without ties the exact distribution is taken.
+EXACT = 50
+
+
+def rank_sum_tails(sizes: DataFrame) -> DataFrame:
+    """(n, tails) for rows of n up to ``EXACT``: tails[s] is the share of sign choices over ranks 1..n whose positive sum is at most s.
+
+    The number of ways to reach each sum is folded over the ranks: a rank is left out, or shifts all sums by itself.
+    """
+    none = lambda k: F.array_repeat(F.lit(0.0), k)
+    ways = F.aggregate(
+        F.sequence(F.lit(1), F.col("n").cast("int")), F.array(F.lit(1.0)),
+        lambda acc, r: F.zip_with(F.concat(acc, none(r)), F.concat(none(r), acc), lambda x, y: x + y),
+    )
+    running = F.aggregate("_w", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)))
+    few = sizes.filter(F.col("n").between(1, EXACT)).select("n").distinct()  # EXACT rows at most
+    return few.withColumn("_w", ways).select("n", F.transform(running, lambda x: x / F.pow(F.lit(2.0), "n")).alias("tails"))
+
+
+def signed_rank_test(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """A20 with ``p_exact``, the two-sided probability for up to ``EXACT`` differences without ties, else NULL; z is the normal form."""
+    found = materialise(signed_rank(df, a, b, keys, ties="ties"), "signed-rank")
+    tails = rank_sum_tails(found.filter("ties = 0"))
+    met = found.join(F.broadcast(tails), "n", "left")
+    p = F.least(F.lit(1.0), 2 * F.get("tails", F.col("statistic").cast("int")))
+    return met.select(*found.drop("ties").columns, F.when((F.col("ties") == 0) & F.col("tails").isNotNull(), p).alias("p_exact"))
 
 
 def paired_effect(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:

@@ -257,6 +257,23 @@ def a20(spark, sf):
     return out.select("recording", "n", "w_plus", "w_minus", "statistic", r("z").alias("z"))
 
 
+@query(
+    "a20_exact_signed_rank",
+    f"""WITH RECURSIVE d AS (SELECT recording, window_idx // 30 AS block, abs(lms_hf_bpm - ref_bpm) - abs(lms_acc_bpm - ref_bpm) AS d FROM hr),
+c AS (SELECT recording, block, abs(d) AS m, count(*) AS c, count(*) FILTER (WHERE d > 0) AS pos FROM d WHERE d <> 0 GROUP BY 1, 2, 3),
+k AS (SELECT *, sum(c) OVER (PARTITION BY recording, block ORDER BY m) - (c - 1) / 2.0::DOUBLE AS rk FROM c),
+g AS (SELECT recording, block, sum(c)::BIGINT AS n, max(c) AS most, sum(pos * rk)::DOUBLE AS wp, sum((c - pos) * rk)::DOUBLE AS wm FROM k GROUP BY 1, 2),
+ways AS (SELECT 0 AS n, 0 AS s, 1.0::DOUBLE AS w UNION ALL SELECT n + 1, s, sum(w) FROM (SELECT n, s, w FROM ways WHERE n < 50 UNION ALL SELECT n, s + n + 1, w FROM ways WHERE n < 50) GROUP BY 1, 2),
+tails AS (SELECT n, s, sum(w) OVER (PARTITION BY n ORDER BY s) / pow(2, n) AS t FROM ways)
+SELECT g.recording, block, g.n, least(wp, wm) AS statistic, {rq('CASE WHEN most = 1 AND t IS NOT NULL THEN least(1, 2 * t) END', 8)} AS p_exact FROM g LEFT JOIN tails ON tails.n = g.n AND tails.s = least(wp, wm)""",
+    ("hr",),
+)
+def a20_exact(spark, sf):
+    rows = t.hr_rows(spark, sf)
+    d = rows.select("recording", F.expr("window_idx div 30").alias("block"), F.abs(F.col("lms_hf_bpm") - F.col("ref_bpm")).alias("a"), F.abs(F.col("lms_acc_bpm") - F.col("ref_bpm")).alias("b"))
+    return st.signed_rank_test(d, "a", "b", ["recording", "block"]).select("recording", "block", "n", "statistic", r("p_exact", 8).alias("p_exact"))
+
+
 @query("a21_paired_effect", f"WITH {_PAIRED} SELECT recording, {rq('(avg(a) - avg(b)) / stddev_pop(a - b)', 6)} AS cohens_d FROM d GROUP BY 1", ("hr",))
 def a21(spark, sf):
     return _rounded(st.paired_effect(_paired(spark, sf), "a", "b", ["recording"]), ["recording"], 6)
