@@ -149,7 +149,7 @@ def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     weighed = mixing.quality_weight(docs, table(spark, sf, "labels"))
     mixed = mixing.mix(weighed, F.col("words"), F.col("weight"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.epochs") * F.col("mix.size") + F.col("mix.part")).alias("taken"))
 
 
 @query
@@ -175,6 +175,17 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+# CRC-32 of a text's UTF-8 bytes: its table made from the polynomial 0xEDB88320, then a fold over the bytes
+_CRC_TABLE = """list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _crc32(text: str, rows: str) -> str:
+    """(x, c) for every distinct ``text`` of ``rows``."""
+    return f"""(SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c
+  FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT {text} AS x FROM {rows})), (SELECT {_CRC_TABLE} AS t))"""
+
+
 @query
 def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.group(table(spark, sf, "documents").select("doc_id", "text"))
@@ -189,6 +200,22 @@ def op12_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+ORACLES["op11_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id || ':' || w AS x, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL),
+hashed AS MATERIALIZED {_crc32('x', 'runs')},
+slipped AS (SELECT CASE WHEN c % 97 = 0 THEN w[1:(c % length(w))::INT] || w[(c % length(w))::INT + 2:] ELSE w END AS word, n FROM runs JOIN hashed USING (x)),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, i, word[1:i] AS a, word[i + 2:] AS b FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT word, a || b FROM cut WHERE a || b IN (SELECT word FROM v) UNION SELECT a || b, word FROM cut WHERE a || b IN (SELECT word FROM v)),
+counted AS (SELECT near.word, v.n, v.word AS other, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN v ON near.other = v.word),
+best AS (SELECT word, other, n, n_near FROM counted QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+told AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 2 * v.n THEN other END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+way AS (SELECT word, word AS root FROM told UNION ALL SELECT way.word, told.form FROM way JOIN told ON told.word = way.root WHERE told.form IS NOT NULL)
+SELECT told.word, told.form, r.root, told.n, n_near, form_n FROM told JOIN (SELECT way.word, way.root FROM way JOIN told ON told.word = way.root WHERE told.form IS NULL) r ON r.word = told.word"""
+
+
 ORACLES["op12_benchmark_decontamination"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} FROM documents), i AS (SELECT item_id, {_WORDS} FROM benchmark),
 windows AS MATERIALIZED (SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS g FROM (SELECT item_id, w[k0:k0 + 9] AS x FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k0 FROM i WHERE len(w) > 0))),
@@ -207,17 +234,6 @@ def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return drawn.select("doc_id", *[f"resample.{c}" for c in ("n_features", "weight", "score", "rank")])
 
 
-# CRC-32 of a text's UTF-8 bytes: its table made from the polynomial 0xEDB88320, then a fold over the bytes
-_CRC_TABLE = """list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
-
-
-def _crc32(text: str, rows: str) -> str:
-    """(x, c) for every distinct ``text`` of ``rows``."""
-    return f"""(SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c
-  FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT {text} AS x FROM {rows})), (SELECT {_CRC_TABLE} AS t))"""
-
-
 _CUT = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x"
 ORACLES["op13_importance_resampling"] = f"""
 WITH raw AS (SELECT doc_id, {_CUT} FROM documents), want AS (SELECT {_CUT} FROM benchmark),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wristwave.session import materialise, ship  # noqa: F401  general helpers
+from wristwave.session import drop_tables, made_tables, materialise, ship  # noqa: F401  general helpers
 
 #: Separators of words: space and the control characters from tab to carriage return.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -57,3 +57,23 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem = f"_{stem}"
     return stem
+
+
+#: Longs of a bitmap that tells which rows may meet a table.
+BITMAP_WORDS = 1 << 18
+
+
+def split_rows(rows: DataFrame, ids: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may meet ``ids``, the rest) by a bitmap of ``h`` = xxhash64 of the key; no row moves.
+
+    Only the first part needs the join. The bitmap is at most ``BITMAP_WORDS`` rows, so it may be broadcast; where
+    ids fill it, no rows are left for the second part.
+    """
+    word_of = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP_WORDS - 1)
+    bit_of = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    word, mask, hash_ = (fresh_name(rows, c) for c in ("bitmap_word", "bitmap_mask", "bitmap_hash"))
+    bits = ids.select(word_of(F.col("h")).alias(word), bit_of(F.col("h")).alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    bits = F.broadcast(materialise(bits, "bitmap"))
+    marked = rows.withColumn(hash_, F.xxhash64(key)).withColumn(word, word_of(F.col(hash_))).join(bits, word, "left")
+    may = F.coalesce(F.col(mask).bitwiseAND(bit_of(F.col(hash_))) != 0, F.lit(False))
+    return tuple(marked.filter(c).select(*rows.columns) for c in (may, ~may))
