@@ -72,8 +72,7 @@ def delay_profile(
     best = W.partitionBy(*keys).orderBy(F.desc("score"), "window_idx")
     rep = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TIERS[-1][1]).select(*keys, "window_idx", "rank")
     # the search starts one sample before the window
-    wins = window_arrays(df, [target, *refs], win, step, start - 1, pad, tuple(refs), keys=keys)
-    wins = wins.join(rep, [*keys, "window_idx"])
+    wins = window_arrays(df, [target, *refs], win, step, start - 1, pad, tuple(refs), keys=keys, plan=rep)
     corr = lag_correlation(pad)
     lags = wins.select(*keys, "window_idx", "rank", *[corr(target, c, "pad_left").alias(c) for c in refs])
     tier = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(round(s * fs)).alias("lim"), F.lit(n).alias("n")) for i, (s, n) in enumerate(TIERS)])

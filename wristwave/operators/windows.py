@@ -85,16 +85,24 @@ def frames(
 
 def window_arrays(
     df: DataFrame, cols: list[str], win: int, step: int, start: int = 0, pad: int = 0, padded: tuple[str, ...] = (),
-    keys=KEYS, order=IDX, block: int = BLOCK,
+    keys=KEYS, order=IDX, block: int = BLOCK, plan: DataFrame | None = None,
 ) -> DataFrame:
     """keys, window_idx, start_idx and one array per column for every full window.
 
     Columns in ``padded`` also carry up to ``pad`` samples on both sides; ``pad_left``
-    tells how many of them precede the window.
+    tells how many of them precede the window. ``plan``: the windows that are wanted, with columns of their own (keys,
+    window_idx, ...). It meets the frames, of which there is one for ``block`` windows, so no window array is shuffled.
     """
     fr = frames(df, cols, win, step, start, pad, keys, order, block)
-    wins = fr.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    wins = wins.withColumn("window_idx", F.col("_block") * block + F.col("_w"))
+    own = []
+    if plan is None:
+        wins = fr.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+        wins = wins.withColumn("window_idx", F.col("_block") * block + F.col("_w"))
+    else:
+        own = [c for c in plan.columns if c not in (*keys, "window_idx")]
+        wanted = plan.groupBy(*keys, chunk_col("window_idx", block).alias("_block")).agg(F.collect_list(F.struct("window_idx", *own)).alias("_wanted"))
+        wins = fr.join(wanted, [*keys, "_block"]).withColumn("_p", F.explode("_wanted")).drop("_wanted")
+        wins = wins.withColumns({c: F.col("_p")[c] for c in ("window_idx", *own)}).drop("_p")
     wins = wins.withColumn("start_idx", F.col("window_idx") * step + start)
     at = (F.col("start_idx") - F.col("_first")).cast("int")
     wins = wins.withColumn("_at", at).filter((F.col("_at") >= 0) & (F.col("_at") + win <= F.col("_len")))
@@ -107,7 +115,7 @@ def window_arrays(
         else:
             out.append(F.slice(c, F.col("_at") + 1, F.lit(win)).alias(c))
     extra = [left.alias("pad_left")] if pad else []
-    return wins.select(*keys, "window_idx", "start_idx", *extra, *out)
+    return wins.select(*keys, "window_idx", "start_idx", *extra, *out, *own)
 
 
 def clip_to_buffer(windows: DataFrame, samples: DataFrame, win: int, fs: int, buffer_s: float, keys=KEYS) -> DataFrame:

@@ -120,9 +120,8 @@ def hr_windows(cond: DataFrame, refs: list[str], p: HrParams, keys: list[str], p
     """Window arrays starting one sample early (the delay search does), references padded by 0.2 s."""
     fs, win = p.fs_target, 8 * p.fs_target
     pad, start = round(0.2 * fs), int(round(p.time_start * fs))
-    wins = w.window_arrays(cond, ["ppg", *refs], win + lead, fs, start - lead, pad, tuple(refs), keys=keys)
-    wins = wins.withColumn("start_idx", F.col("start_idx") + lead)
-    return wins.join(plan, [*keys, "window_idx"]), win, pad
+    wins = w.window_arrays(cond, ["ppg", *refs], win + lead, fs, start - lead, pad, tuple(refs), keys=keys, plan=plan)
+    return wins.withColumn("start_idx", F.col("start_idx") + lead), win, pad
 
 
 def _core(c: str, win: int, lead: int = 1, padded: bool = True) -> Column:
@@ -381,8 +380,8 @@ def spo2_windows(samples: DataFrame, fs: int, p: Spo2Params = Spo2Params(), keys
     s = materialise(s.select(*keys, "sample_idx", "red", "ir", *refs, "mag", "miss"), "spo2-clean")
     moments = w.window_moments(s, {"mag": F.col("mag"), "miss": F.col("miss")}, win, step, keys=keys)
     moments = moments.select(*keys, "window_idx", w.sample_std("mag").alias("motion_score"), F.col("miss_mean").alias("missing_ratio"))
-    wins = w.window_arrays(s, ["red", "ir", *refs], win, step, 0, p.delay_samples, tuple(refs), keys=keys)
-    wins = wins.join(moments, [*keys, "window_idx"]).withColumn("adaptive_applied", F.col("motion_score") > p.rest_threshold)
+    wins = w.window_arrays(s, ["red", "ir", *refs], win, step, 0, p.delay_samples, tuple(refs), keys=keys, plan=moments)
+    wins = wins.withColumn("adaptive_applied", F.col("motion_score") > p.rest_threshold)
     active = F.col("adaptive_applied") & F.lit(p.adaptive)
     wins = window_delays(wins, "ir", refs, p.delay_samples, win, {c: 0 for c in refs}, p.max_order, active=active, partial=True)
     # the lag of each stage sets its order: recover it from the ranking kept in ``stages``
