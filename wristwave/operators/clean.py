@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wristwave.functions.scalars import bridge_ratio, drop_negative, numeric
 from wristwave.operators.chunked import CHUNK, Carry, carried, chunk_col, exact_percentiles, with_halo, with_totals
+from wristwave.session import materialise
 
 KEYS = ["recording"]
 IDX = "sample_idx"
@@ -116,6 +117,7 @@ def moving_median_outliers(df, cols: list[str], window: int, threshold: float =
     rows = frames.select(*keys, "_r", *[m.alias(n) for n, m in marks.items()])
     flat = rows.select(*keys, F.explode(F.arrays_zip("_r", *marks)).alias("_s")).filter("_s._r.core")
     out = flat.select(*keys, *[F.col(f"_s._r.v._{i}").alias(c) for i, c in enumerate(every)], *[F.col(f"_s._bad{i}").alias(f"{c}_replaced") for i, c in enumerate(cols)])
+    out = materialise(out, "outliers")  # a fill reads its input twice, the medians are taken once
     return fill_linear_nearest(out, {c: F.when(~F.col(f"{c}_replaced"), F.col(c)) for c in cols}, keys, order)
 
 
@@ -145,11 +147,14 @@ def mean_outliers_previous(df, cols: list[str], threshold: float = 3.0, keys=KEY
 
 
 def clean_signal(df, cols: list[str], fs: int, keys=KEYS, order=IDX) -> DataFrame:
-    """Nearest fill, drop negative PPG and refill, moving-median outliers (window = fs)."""
+    """Nearest fill, drop negative PPG and refill, moving-median outliers (window = fs).
+
+    What a fill returns is stored before the next one, as each reads its input twice.
+    """
     out = fill_nearest(df, {c: F.col(c) for c in cols}, keys, order)
     optical = [c for c in cols if c.startswith("ppg")]
     if optical:
-        out = fill_linear_nearest(out, {c: drop_negative(F.col(c)) for c in optical}, keys, order)
+        out = fill_linear_nearest(materialise(out, "filled"), {c: drop_negative(F.col(c)) for c in optical}, keys, order)
     return moving_median_outliers(out, cols, fs, keys=keys, order=order)
 
 
