@@ -66,3 +66,28 @@ def test_held_out_documents():
     good = [model.score(text[k]) >= 0.7 for k in toxic if held(k) and toxic[k] == 0]
     # about a tenth of the texts labelled toxic here are junk that holds no slur
     assert sum(bad) / len(bad) > 0.85 and sum(good) / len(good) < 0.03
+
+
+def test_long_texts_are_learned(spark, docs_of):
+    """Confirmed texts of over 100,000 characters; keys without a text don't use up the sample."""
+    filler = " plain filler words" * 5500
+    bad, good = corpus(40, 8, True), corpus(300, 9, False)
+    docs = docs_of([(i, t + filler) for i, t in enumerate(bad)] + [(1000 + i, t + filler * (i % 3 == 0)) for i, t in enumerate(good)])
+    confirmed = spark.createDataFrame([(i,) for i in range(40)] + [(10**6 + i,) for i in range(200)], "doc_id long")
+    was, tx.POSITIVES = tx.POSITIVES, 40
+    try:
+        model = tx.fit(docs, confirmed, 0.15)
+    finally:
+        tx.POSITIVES = was
+    assert any(f in SLURS for f in model.weights)
+    assert all(model.score(t) >= 0.7 for t in corpus(30, 10, True)) and not any(model.score(t) >= 0.7 for t in corpus(60, 11, False))
+
+
+def test_fit_equals_training_in_one_process(spark, docs_of):
+    bad, good = corpus(60, 12, True), corpus(200, 13, False) + corpus(20, 14, True)
+    rows = [(i, t) for i, t in enumerate(bad + good)]
+    docs = docs_of(rows + rows[:5] + rows[-5:] + [(None, good[0])])  # repeated rows count once
+    confirmed = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    got, plain = tx.fit(docs, confirmed, 0.2), tx.train(bad, good + [good[0]], 0.2)
+    assert set(got.weights) == set(plain.weights) and got.weights
+    assert all(abs(w - plain.weights[f]) < 1e-6 for f, w in got.weights.items()) and abs(got.bias - plain.bias) < 1e-6

@@ -1,14 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all other text is unlabelled, toxic or not, and its
-labels are never read. With class prior p the risk of a classifier f under the logistic loss is
+Confirmed toxic documents are the positives; a sample of all other text is unlabelled, toxic or not: which of
+it is known to be clean is never read. With class prior p (given by the caller, such as the share of toxic rows
+among labelled ones) the risk of a classifier f under the logistic loss is
 p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)]); the second term is the corrected risk of the negatives.
 Where it goes negative (the model has begun to memorise), the step is taken against it instead.
 
 The model is linear over which words and word beginnings a text has, not how often, so one slur in a long
-text weighs as in a short one. Training takes at most ``POSITIVES`` and ``UNLABELLED`` texts (a hash of the
-id decides which), picked by Spark; they and the weights are all that the driver sees. Scoring covers every
-whole text, one Arrow batch at a time.
+text weighs as in a short one. Features are those in whose presence toxicity is significantly likelier than not
+(by the prior and the shares of positives and of unlabelled texts that have them). Training takes at most ``POSITIVES`` and
+``UNLABELLED`` whole texts of any length (a hash of row and id decides which). Tasks turn them into feature
+sets and Spark counts these; the driver gets the chosen features' names and, for each text, their numbers.
+Scoring covers every whole text, one Arrow batch at a time.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wristwave.llm.common import ship
+from wristwave.llm.common import materialise, ship
 
-POSITIVES, UNLABELLED, TEXT_CHARS = 3000, 9000, 20_000
-LEAST_TEXTS, TELLING, FEATURES, STEPS = 4, 15, 60_000, 300
+#: Bounds of the training sample.
+POSITIVES, UNLABELLED = 3000, 9000
+#: A feature needs so many positives and so many standard errors; the most significant ``FEATURES`` are kept.
+LEAST_TEXTS, SIGNIFICANT, FEATURES, STEPS = 4, 1.645, 60_000, 300
 STEMS = (4, 5)
 
 
@@ -47,30 +52,40 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS, l2: float = 3e-4, rate: float = 0.08) -> Model:
-    """Fit by full-batch Adam; without positives or unlabelled text the model says the prior for every text."""
+def excess(among, rest, p: int, u: int, prior: float):
+    """By how many standard errors toxicity is likelier than not in a text with the feature: prior * P(feature | toxic) against P(feature) / 2.
+
+    Takes counts among p positives and u unlabelled texts as arrays or columns. Shares are shrunk by half a text, so
+    that none is without an error.
+    """
+    a, r = (among + 0.5) / (p + 1), (rest + 0.5) / (u + 1)
+    return (prior * a - r / 2) / (prior**2 * a * (1 - a) / p + r * (1 - r) / (4 * u)) ** 0.5
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS) -> Model:
+    """``fit`` for texts at hand, in one process."""
+    p, u = len(positive), len(unlabelled)
+    if not p or not u:
+        return descend([], [], p, u, prior, steps)
+    sets = [features(t) for t in (*positive, *unlabelled)]
+    among, rest = Counter(f for s in sets[:p] for f in s), Counter(f for s in sets[p:] for f in s)
+    worth = {f: excess(n, rest[f], p, u, prior) for f, n in among.items() if n >= LEAST_TEXTS}
+    kept = sorted(sorted((f for f, z in worth.items() if z > SIGNIFICANT), key=lambda f: (-worth[f], f))[:FEATURES])
+    number = {f: i for i, f in enumerate(kept)}
+    return descend(kept, [np.array([number[f] for f in s if f in number], dtype=np.int64) for s in sets], p, u, prior, steps)
+
+
+def descend(kept: list[str], cols: list[np.ndarray], p: int, u: int, prior: float, steps: int = STEPS, l2: float = 3e-4, rate: float = 0.08) -> Model:
+    """Full-batch Adam. ``cols``: each text's numbers in ``kept``, the p positives first.
+
+    Without positives or unlabelled text the model says the prior for every text.
+    """
     prior = min(max(prior, 1e-3), 0.5)
     start = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    if not p or not u:
         return Model({}, start)
-    p, u = len(positive), len(unlabelled)
-    hits = Counter(f for t in positive for f in features(t))
-    able = sorted(f for f, n in hits.items() if n >= LEAST_TEXTS)
-    number = {f: i for i, f in enumerate(able)}
-    del hits
-    has = lambda t: np.array(sorted(number[f] for f in features(t) if f in number), dtype=np.int64)
-    cols = [has(t) for t in (*positive, *unlabelled)]
-    row, col = np.repeat(np.arange(p + u), [len(c) for c in cols]), np.concatenate(cols)
-    # more frequent in positives than, with the prior taken out, in the negatives among the unlabelled
-    among = np.bincount(col[row < p], minlength=len(able)) / p
-    rest = np.bincount(col[row >= p], minlength=len(able)) / u
-    clean = np.maximum(0, (rest - prior * among) / (1 - prior))
-    telling = np.flatnonzero(among > TELLING * (clean + 1 / u))
-    telling = np.sort(telling[np.argsort(-among[telling], kind="stable")][:FEATURES])
-    place = np.full(len(able), -1)
-    place[telling] = np.arange(len(telling))
-    kept = [able[i] for i in telling]
-    row, col = row[place[col] >= 0], place[col[place[col] >= 0]]
+    row = np.repeat(np.arange(p + u), [len(c) for c in cols])
+    col = np.concatenate([*cols, np.zeros(0, dtype=np.int64)]).astype(np.int64)
     n = p + u
     w, b = np.zeros(len(kept)), start
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
@@ -97,23 +112,52 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
 def fit(docs: DataFrame, confirmed: DataFrame, prior: float, key: str = "doc_id", text: str = "text") -> Model:
     """``confirmed`` holds the keys of toxic training documents; the rest of ``docs`` is unlabelled.
 
-    At most ``POSITIVES`` confirmed and ``UNLABELLED`` other texts of at most ``TEXT_CHARS`` characters are used.
+    Texts count whole, whatever their length. Null and empty texts teach nothing and don't use up the sample; rows
+    with a null key are unlabelled; rows equal in key and text count once, and where rows share a confirmed key each
+    text is a positive. Ties of the hash go by the key. Other columns aren't read. Without positives or unlabelled
+    text, as in empty tables, the model says the prior.
     """
-    narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t").between(1, TEXT_CHARS))
+    ship(docs.sparkSession)
+    narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0).withColumn("h", F.xxhash64("k", "t"))
     marks = confirmed.select(F.col(key).alias("mk")).filter("mk is not null").distinct()
-    chosen = marks.orderBy(F.xxhash64("mk"), "mk").limit(POSITIVES)  # few keys, so they may be broadcast
-    positive = narrow.join(F.broadcast(chosen), narrow["k"] == chosen["mk"], "left_semi").select("t").limit(POSITIVES)
-    # unlabelled texts are thinned by hash before any of them is moved
-    turn, n = F.xxhash64("k", "t").bitwiseAND((1 << 40) - 1), narrow.count()
-    below = 1 << 40 if n <= 2 * UNLABELLED else int((1 << 40) * 2 * UNLABELLED / n)
-    thin = narrow.withColumn("turn", turn).filter(F.col("turn") < below)
-    other = thin.join(marks, thin["k"] == marks["mk"], "left_anti").orderBy("turn", "t").select("t").limit(UNLABELLED)
-    texts = lambda rows: sorted(r.t for r in rows.collect())  # noqa: E731  bounded above
-    return train(texts(positive), texts(other), prior)
+    rows = materialise(narrow.select("k", "h"), "toxicity-rows")  # texts stay where they are until the sample is drawn
+    turn = F.col("h").bitwiseAND((1 << 40) - 1)
+
+    def draw(some: DataFrame, most: int) -> DataFrame:
+        """The ``most`` rows of smallest hash; all but about twice as many are dropped before any is sorted."""
+        n = some.count()
+        near = some if n <= 2 * most else some.filter(turn < int((1 << 40) * (2 * most + 1000) / n))
+        return near.distinct().orderBy(turn, "h", "k").limit(most).select("h")
+
+    toxic = materialise(rows.join(marks, rows["k"] == marks["mk"], "left_semi"), "toxicity-positives")
+    n = rows.count()
+    thin = rows if n <= 4 * UNLABELLED else rows.filter(turn < int((1 << 40) * (4 * UNLABELLED) / n))
+    other = thin.join(marks, thin["k"] == marks["mk"], "left_anti")
+    chosen = draw(toxic, POSITIVES).withColumn("y", F.lit(1)).unionByName(draw(other, UNLABELLED).withColumn("y", F.lit(0)))
+    chosen = F.broadcast(materialise(chosen, "toxicity-chosen"))  # at most POSITIVES + UNLABELLED rows
+    told = F.pandas_udf(lambda texts: texts.map(lambda t: sorted(features(t))), "array<string>")
+    whole = narrow.join(chosen, "h").groupBy("h", "y").agg(F.first("t").alias("t"))
+    sets = materialise(whole.select("h", "y", told("t").alias("fs")), "toxicity-features")
+    p, u = (sets.filter(F.col("y") == y).count() for y in (1, 0))
+    if not p or not u:
+        return descend([], [], p, u, prior)
+    each = sets.select("h", "y", F.explode("fs").alias("f"))
+    seen = each.groupBy("f").agg(F.sum("y").alias("among"), F.sum(1 - F.col("y")).alias("rest")).filter(F.col("among") >= LEAST_TEXTS)
+    worth = seen.select("f", excess(F.col("among"), F.col("rest"), p, u, prior).alias("z")).filter(F.col("z") > SIGNIFICANT)
+    kept = sorted(r.f for r in worth.orderBy(F.desc("z"), "f").limit(FEATURES).collect())
+    number = {f: i for i, f in enumerate(kept)}
+    sent = docs.sparkSession.sparkContext.broadcast(number)  # at most FEATURES entries
+    numbers = F.pandas_udf(lambda fs: fs.map(lambda s: [sent.value[f] for f in s if f in sent.value]), "array<int>")
+    own = sorted(((1 - r.y, r.h), r.c) for r in sets.select("h", "y", numbers("fs").alias("c")).toLocalIterator())
+    return descend(kept, [np.array(c, dtype=np.int64) for _, c in own], p, u, prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Every row and column of the table with its score; null and empty texts get the score of no evidence."""
+    """Every row and column of the table with its score; null and empty texts get the score of no evidence.
+
+    Texts are scored whole, one Arrow batch of rows at a time; a very long text has to fit in a row. Equal texts get
+    equal scores. A column that is already called ``out`` is replaced.
+    """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast((model.weights, model.bias))  # at most FEATURES entries
