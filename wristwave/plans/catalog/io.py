@@ -1,15 +1,21 @@
 """Every reader and writer as a round trip through the shared folder."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from wristwave.functions.scalars import decode_option
 from wristwave.operators import stats as st
 from wristwave.plans.catalog.sequences import mag
 from wristwave.plans.catalog.statistics import _A3
+from wristwave.plans.jobs import Spo2Result
 from wristwave.plans.registry import query, r, rq
 from wristwave.session import shared_path
 from wristwave.sources import recordings as rec
+from wristwave.sources import reports
 from wristwave.sources import sinks as sk
 from wristwave.sources import tables as t
+from wristwave.sources.published import publish, published
 
 
 def _name():
@@ -96,38 +102,73 @@ def _meta(spark, sf):
 )
 def s8(spark, sf):
     win = t.hr_rows(spark, sf).select("recording", "window_idx", "fft_bpm", "motion")
-    path = sk.write_report(shared_path(spark, "report"), _meta(spark, sf), {"window_table": win})
-    got = sk.read_report(spark, path, {"window_table": "recording bigint, window_idx bigint, fft_bpm double, motion int"})
+    path = shared_path(spark, "report")
+    publish(path, sk.SCHEMA_VERSION, {"metadata": _meta(spark, sf), "window_table": win})
+    got = published(spark, path, sk.SCHEMA_VERSION)
     per = got["window_table"].groupBy("recording").agg(F.count("*").alias("stored_windows"), F.sum("motion").alias("motion_windows"))
-    return got["metadata"].select("recording", "metadata.*").join(per, "recording")
+    return got["metadata"].join(per, "recording")
+
+
+#: Grid of the report query; a trial's number tells its choices.
+_SPACE = {"fs_target": [25.0, 50.0, 100.0], "time_bias": [4.0, 5.0, 6.0, 7.0]}
+
+
+def _decoded_trials(spark, sf):
+    n = F.col("trial")
+    at = {"fs_target": n % 3, "time_bias": F.floor(n / 3) % 4}
+    hf = F.col("status") == "F"
+    return t.trials(spark, sf).select(
+        F.col("study").alias("recording"), "trial", F.when(hf, F.col("value")).alias("hf"), F.when(~hf, F.col("value")).alias("acc"), *[decode_option(c, at[p]).alias(p) for p, c in _SPACE.items()])
+
+
+_EFFECTS = ", ".join(
+    f"{rq(f"max(share) FILTER (WHERE path = '{path}' AND parameter = '{p}')")} AS {path}_importance_{p}" for path in ("hf", "acc") for p in _SPACE)
 
 
 @query(
     "s9_optimise_report",
-    "SELECT study AS recording, min(value) AS min_err_hf, max(value) AS min_err_acc, count(*) AS n FROM trials GROUP BY 1",
+    f"""WITH d AS (SELECT study AS recording, trial, value, CASE WHEN status = 'F' THEN 'hf' ELSE 'acc' END AS path, ([25, 50, 100]::DOUBLE[])[1 + trial % 3] AS fs_target, ([4, 5, 6, 7]::DOUBLE[])[1 + (trial // 3) % 4] AS time_bias FROM trials),
+long AS (SELECT recording, path, value, 'fs_target' AS parameter, fs_target AS choice FROM d UNION ALL SELECT recording, path, value, 'time_bias', time_bias FROM d),
+per AS (SELECT recording, path, parameter, choice, count(*) AS n, avg(value) AS m, var_pop(value) AS s FROM long GROUP BY ALL),
+tot AS (SELECT recording, path, parameter, sum(n) AS t, sum(n * m) / sum(n) AS mean, sum(n * s) AS within FROM per GROUP BY ALL),
+bet AS (SELECT recording, path, parameter, any_value(t) AS t, any_value(within) AS within, sum(n * (m - mean) * (m - mean)) AS between FROM per JOIN tot USING (recording, path, parameter) GROUP BY ALL),
+eff AS (SELECT recording, path, parameter, CASE WHEN t > 1 AND between + within > 0 THEN between / (between + within) END AS share FROM bet),
+wide AS (SELECT recording, {_EFFECTS} FROM eff GROUP BY 1),
+best AS (SELECT recording, 'lms' AS adaptive_filter, count(*) AS n, min(value) FILTER (WHERE path = 'hf') AS min_err_hf, min(value) FILTER (WHERE path = 'acc') AS min_err_acc,
+  {", ".join(f"first({c} ORDER BY value, trial) FILTER (WHERE path = '{path}') AS {path}_{c}" for path in ("hf", "acc") for c in ("trial", *_SPACE))} FROM d GROUP BY 1)
+SELECT *, 12 AS grid_size FROM best JOIN wide USING (recording)""",
     ("trials",),
 )
 def s9(spark, sf):
-    best = t.trials(spark, sf).groupBy(F.col("study").alias("recording")).agg(F.min("value").alias("min_err_hf"), F.max("value").alias("min_err_acc"), F.count("*").alias("n"))
-    path = sk.write_report(shared_path(spark, "optimise"), best, {}, "v1")
-    return sk.read_report(spark, path, {}, "v1")["metadata"].select("recording", "metadata.*").select("recording", "min_err_hf", "min_err_acc", "n")
+    path = shared_path(spark, "optimise")
+    publish(path, "v1", reports.optimise_tables(_decoded_trials(spark, sf), "recording", "hf", "acc", "trial", _SPACE, {"adaptive_filter": F.lit("lms")}))
+    got = published(spark, path, "v1")
+    sizes = got["search_space"].groupBy("parameter").count().select("count").collect()  # one row a parameter
+    told = lambda p: [F.col(f"best_para_{p}.{c}").alias(f"{p}_{c}") for c in ("trial", *_SPACE)]
+    share = lambda p, c: F.max(F.when((F.col("path") == p) & (F.col("parameter") == c), F.col("importance")))
+    wide = got["importance"].groupBy("recording").agg(*[r(share(p, c)).alias(f"{p}_importance_{c}") for p in ("hf", "acc") for c in _SPACE])
+    best = got["best"].select("recording", "adaptive_filter", "n", "min_err_hf", "min_err_acc", *told("hf"), *told("acc"))
+    return best.join(wide, "recording").withColumn("grid_size", F.lit(math.prod(x["count"] for x in sizes)))
 
 
 @query(
     "s10_spo2_report",
-    "SELECT recording, count(*) AS windows, count(*) FILTER (WHERE accy * 40 > 0.05::DOUBLE AND accy * 40 < 3) AS beats FROM sensor GROUP BY 1",
+    f"""SELECT recording, count(*) AS windows, count(*) FILTER (WHERE accy * 40 > 0.05::DOUBLE AND accy * 40 < 3) AS beats, count(*) AS samples, max(t_s) AS last_s,
+{rq('avg(ppg)')} AS red_raw, {rq('avg(ppg * 0.5::DOUBLE)')} AS red_clean, {rq('avg(sqrt(accx*accx + accy*accy + accz*accz))')} AS acc_mag FROM sensor GROUP BY 1""",
     ("sensor",),
 )
 def s10(spark, sf):
     s = t.sensor(spark, sf)
     beats = s.filter((F.col("accy") * 40 > 0.05) & (F.col("accy") * 40 < 3)).select("recording", F.col("sample_idx").alias("window_idx"), (F.col("accy") * 40).alias("r"))
     spo2 = s.select("recording", F.col("sample_idx").alias("window_idx"), (F.col("accx") + 50).alias("spo2"))
-    meta = s.groupBy("recording").agg(F.lit(25).alias("fs"))
-    path = sk.write_report(shared_path(spark, "spo2"), meta, {"spo2_table": spo2, "beat_table": beats}, sk.SPO2_SCHEMA_VERSION, "parquet")
-    got = sk.read_report(spark, path, {"spo2_table": "recording bigint, window_idx bigint, spo2 double", "beat_table": "recording bigint, window_idx bigint, r double"}, sk.SPO2_SCHEMA_VERSION, "parquet")
-    a = got["spo2_table"].groupBy("recording").agg(F.count("*").alias("windows"))
+    wave = s.select("recording", "sample_idx", F.col("t_s").alias("time_s"), F.col("ppg").alias("red_raw"), F.col("accx").alias("ir_raw"), (F.col("ppg") * 0.5).alias("red_clean"), (F.col("accx") * 0.5).alias("ir_clean"), mag().alias("acc_mag"))
+    path = shared_path(spark, "spo2")
+    publish(path, sk.SPO2_SCHEMA_VERSION, reports.spo2_tables(Spo2Result(spo2, beats, wave), {"fs": F.lit(25), "max_order": F.lit(20)}))
+    got = published(spark, path, sk.SPO2_SCHEMA_VERSION)
+    a = got["metadata"].select("recording", F.col("n_windows").alias("windows"))
     b = got["beat_table"].groupBy("recording").agg(F.count("*").alias("beats"))
-    return a.join(b, "recording", "left").fillna(0, ["beats"])
+    c = got["waveforms"].groupBy("recording").agg(F.count("*").alias("samples"), F.max("time_s").alias("last_s"), *[r(F.avg(x)).alias(x) for x in ("red_raw", "red_clean", "acc_mag")])
+    return a.join(b, "recording", "left").fillna(0, ["beats"]).join(c, "recording")
 
 
 def _hz(spark, sf):
@@ -194,18 +235,54 @@ def s15(spark, sf):
 
 @query(
     "s16_batch_summary",
-    "SELECT o_orderstatus AS mode, o_custkey AS sample, count(*) AS runs, min(o_totalprice) AS best FROM orders GROUP BY 1, 2",
+    """WITH q AS (SELECT o_custkey AS sample, count(*) AS runs, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN 'bad' ELSE 'good' END AS qc_status FROM orders GROUP BY 1)
+SELECT o_custkey AS sample, o_orderstatus AS ppg_mode, 'klms' AS adaptive_filter, 'full' AS analysis_scope, 'HF-ACC' AS reference_order_key, any_value(q.qc_status) AS qc_status,
+CASE WHEN count(*) > 1 THEN 'ok' ELSE 'too_short' END AS status, CASE WHEN count(*) > 1 THEN min(o_totalprice) END AS best_error, CASE WHEN count(*) > 1 THEN NULL ELSE 'no estimate: too_short' END AS error,
+o_custkey || '-' || o_orderstatus || '-klms-full-HF-ACC' AS report, any_value(q.runs) AS qc_runs FROM orders JOIN q ON o_custkey = q.sample GROUP BY o_custkey, o_orderstatus""",
 )
 def s16(spark, sf):
-    o = t.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("mode"), F.col("o_custkey").alias("sample")).agg(F.count("*").alias("runs"), F.min("o_totalprice").alias("best"))
-    path = sk.write_csv(o, shared_path(spark, "summary"), ["mode"])
-    return spark.read.option("header", True).schema("sample bigint, runs bigint, best double, mode string").csv(path).select("mode", "sample", "runs", "best")
+    o = t.table(spark, sf, "orders")
+    many = F.count("*") > 1
+    est = o.groupBy(F.col("o_custkey").alias("recording"), F.col("o_orderstatus").alias("mode")).agg(
+        F.when(many, "ok").otherwise("too_short").alias("status"), F.when(many, F.min("o_totalprice")).alias("best_error"))
+    bad = F.count_if(F.col("o_orderstatus") == "P") > 0
+    qc = o.groupBy(F.col("o_custkey").alias("recording")).agg(F.count("*").alias("runs"), F.when(bad, "bad").otherwise("good").alias("qc_status"))
+    path = shared_path(spark, "summary")
+    publish(path, "batch", reports.batch_tables(est, qc, F.lit("klms"), F.lit("full"), F.lit("HF-ACC")), {"summary": ["ppg_mode"]})
+    got = published(spark, path, "batch")
+    return got["summary"].join(got["qc"].select(F.col("recording").alias("sample"), F.col("runs").alias("qc_runs")), "sample")
+
+
+def _study(spark, sf):
+    """Trials of every study with the best of each, and the windows of every recording as curves."""
 
+    def build():
+        path = shared_path(spark, "study")
+        curve = t.hr_rows(spark, sf).select("recording", "window_idx", "ref_bpm", "fft_bpm", F.col("fusion_hf_bpm").alias("final_bpm"), "motion")
+        trials = t.trials(spark, sf).select("strategy", F.col("study").alias("recording"), "trial", "value", "status")
+        publish(path, "study", reports.study_tables(trials, "recording", "value", "trial", ["strategy", "status"], F.col("value") < 100000, curve), {"trials": ["strategy"]})
+        return path
 
-@query("s17_trials_and_curves", "SELECT strategy, study, trial, value FROM trials", ("trials",))
+    return published(spark, t._once(spark, sf, "study", build), "study")
+
+
+@query("s17_trials_and_curves", "SELECT strategy, study, trial, value, value < 100000 AS passed FROM trials", ("trials",))
 def s17(spark, sf):
-    path = sk.write_csv(t.trials(spark, sf).select("strategy", "study", "trial", "value"), shared_path(spark, "trials"), ["strategy"])
-    return spark.read.option("header", True).schema("study bigint, trial bigint, value double, strategy string").csv(path).select("strategy", "study", "trial", "value")
+    return _study(spark, sf)["trials"].select("strategy", F.col("recording").alias("study"), "trial", "value", "passed")
+
+
+@query(
+    "s17_per_file_metrics",
+    """SELECT study, min(value) AS objective, first(trial ORDER BY value, trial) AS trial_idx, first(strategy ORDER BY value, trial) AS strategy, first(status ORDER BY value, trial) AS status, min(value) < 100000 AS passed FROM trials GROUP BY 1""",
+    ("trials",),
+)
+def s17_metrics(spark, sf):
+    return _study(spark, sf)["per_file_metrics"].withColumnRenamed("recording", "study")
+
+
+@query("s17_curves", "SELECT recording, window_idx, ref_bpm, fft_bpm, fusion_hf_bpm AS final_bpm, motion FROM hr", ("hr",))
+def s17_curves(spark, sf):
+    return _study(spark, sf)["curves"]
 
 
 @query(

@@ -439,12 +439,13 @@ def estimate_spo2(samples: DataFrame, fs: int = 100, p: Spo2Params = Spo2Params(
     t = t.withColumns({f"{s}_spo2_unsmoothed": F.col(f"{s}_spo2") for s in ("raw", "adaptive")})
     t = w.moving_mean(t, {"raw_spo2": "raw_spo2_unsmoothed", "adaptive_spo2": "adaptive_spo2_unsmoothed"}, width, keys)
     t = w.rest_policy(t, p.rest_threshold)
-    orig = samples.select(*keys, "sample_idx", F.col("ppg_red").alias("red_c"), F.col("ppg_ir").alias("ir_c"))
+    acc_mag = F.sqrt(F.col("accx") ** 2 + F.col("accy") ** 2 + F.col("accz") ** 2)
+    orig = samples.select(*keys, "sample_idx", (F.col("sample_idx") / fs).alias("time_s"), F.col("ppg_red").alias("red_c"), F.col("ppg_ir").alias("ir_c"), acc_mag.alias("acc_mag"))
     flat = wins.select(*keys, "start_idx", F.posexplode(F.arrays_zip("red_c", "ir_c")).alias("_p", "_v"))
     flat = flat.select(*keys, (F.col("start_idx") + F.col("_p")).alias("sample_idx"), "_v.*")
     mean = flat.groupBy(*keys, "sample_idx").agg(F.avg("red_c").alias("_r"), F.avg("ir_c").alias("_i"))
     wave = orig.join(mean, [*keys, "sample_idx"], "left").select(
-        *keys, "sample_idx", F.col("red_c").alias("red_raw"), F.col("ir_c").alias("ir_raw"), F.coalesce("_r", "red_c").alias("red_clean"), F.coalesce("_i", "ir_c").alias("ir_clean")
+        *keys, "sample_idx", "time_s", F.col("red_c").alias("red_raw"), F.col("ir_c").alias("ir_raw"), F.coalesce("_r", "red_c").alias("red_clean"), F.coalesce("_i", "ir_c").alias("ir_clean"), "acc_mag"
     )
     return Spo2Result(t, beats, wave)
 

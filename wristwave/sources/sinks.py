@@ -43,28 +43,7 @@ def write_hr_reference(ref: DataFrame, path: str) -> str:
     return path
 
 
-# ---------------------------------------------------------------- reports
-def write_report(path: str, metadata: DataFrame, tables: dict[str, DataFrame], version: str = SCHEMA_VERSION, fmt: str = "json") -> str:
-    """Metadata with a ``metadata`` struct and the schema version, detail tables beside it."""
-    body = metadata.select("recording", F.struct(*[c for c in metadata.columns if c != "recording"]).alias("metadata"))
-    body.withColumn("schema_version", F.lit(version)).write.json(f"{path}/metadata")
-    for name, df in tables.items():
-        (df.write.json if fmt == "json" else df.write.parquet)(f"{path}/{name}")
-    return path
-
-
-def read_report(spark: SparkSession, path: str, tables: dict[str, str], version: str = SCHEMA_VERSION, fmt: str = "json", metadata_schema: str | None = None) -> dict[str, DataFrame]:
-    """``tables``: name -> schema. Reports of another version are filtered out, as are their rows."""
-    reader = spark.read.schema(metadata_schema) if metadata_schema else spark.read
-    meta = reader.json(f"{path}/metadata").filter(F.col("schema_version") == version)
-    out = {"metadata": meta}
-    keep = meta.select("recording").distinct()
-    for name, schema in tables.items():
-        df = spark.read.schema(schema).json(f"{path}/{name}") if fmt == "json" else spark.read.schema(schema).parquet(f"{path}/{name}")
-        out[name] = df.join(keep, "recording", "left_semi")
-    return out
-
-
+# ---------------------------------------------------------------- reports (written and read by ``published``)
 def scan_best_params(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``multi_<name><n>-<mode>-<filter>-best_params.json``; other names are dropped."""
     pattern = r"(multi_[a-z]+\d+)-(\w+)-(\w+)-best_params\.json"
