@@ -18,8 +18,10 @@ from wristwave.operators import clean, signal as sg, stats as st, windows as w
 from wristwave.operators.align import interpolate, shifted
 from wristwave.operators.chunked import CHUNK, chunk_col, join_group, longest_run, rolling
 from wristwave.operators.delay import delay_profile, window_delays
+from wristwave.operators.sampling import sampled_grid
 from wristwave.operators.tracking import fold, post_motion_slew, post_recovery_blend, tracked, tracked_move
 from wristwave.session import materialise
+from wristwave.sources.reports import optimise_tables
 
 ACC = ["accx", "accy", "accz"]
 
@@ -519,6 +521,39 @@ def sweep_history(trials: DataFrame, method: str = "fusion_hf") -> tuple[DataFra
     return best, hist.select("recording", "trial", "value", "best_overall")
 
 
+#: The published choices of the search, so that studies can be compared.
+SEARCH_SPACE = {
+    "max_order": [12, 16, 20],
+    "penalty_width": [0.1, 0.2, 0.3],
+    "hr_range_hz": [15 / 60, 20 / 60, 25 / 60, 30 / 60, 35 / 60, 40 / 60],
+    "slew_limit_bpm": [8, 9, 10, 11, 12, 13, 14, 15],
+    "slew_step_bpm": [5, 7, 9],
+    "hr_range_rest": [20 / 60, 25 / 60, 30 / 60, 35 / 60, 40 / 60, 50 / 60],
+    "slew_limit_rest": [5, 6, 7, 8],
+    "slew_step_rest": [3, 4, 5],
+    "smooth_win_len": [5, 7, 9],
+    "time_bias": [4, 5, 6],
+}
+
+
+def optimise(samples: DataFrame, ref: DataFrame, base: HrParams, space: dict[str, list], trials: int = 75, repeats: int = 3, scope_column: str = "aae_all") -> dict[str, DataFrame]:
+    """E6 as a study: an even sample of the grid, every trial for every recording, in one sweep; the tables of S9.
+
+    Both paths are rounds of the same trials. ``trials`` x ``repeats`` settings are drawn and reach the driver, as
+    the sweep's plan names them; their errors don't. Importance comes from the study's own trials. Fields of the
+    tracking fold cost one row a window and trial; others (max_order, penalty_width) filter anew for each choice.
+    """
+    grid = materialise(sampled_grid(samples.sparkSession, space, trials, repeats), "grid")
+    kinds = {n: type(getattr(base, n)) for n in space}
+    spec = [{n: kinds[n](r[n]) for n in space} for r in sorted(grid.collect(), key=lambda r: r.trial)]
+    errors = parameter_sweep(samples, ref, base, spec, scope_column)
+    path = lambda m: F.max(F.when(F.col("method") == m, F.col("value")))
+    wide = errors.groupBy("recording", "trial").agg(path("fusion_hf").alias("hf"), path("fusion_acc").alias("acc"))
+    wide = materialise(wide.join(F.broadcast(grid), "trial"), "study-trials")  # trials * repeats rows
+    fixed = {n: F.lit(getattr(base, n)) for n in ("adaptive_filter", "ppg_mode")} | {"analysis_scope": F.lit(base.scope)}
+    return {"trials": wide, **optimise_tables(wide, "recording", "hf", "acc", "trial", space, fixed)}
+
+
 # ---------------------------------------------------------------- E7
 def rest_tracking_study(samples: DataFrame, ref: DataFrame, base: HrParams, grid: list[dict], biases: list[float]) -> DataFrame:
     """Tracking modes x rest parameters x time offsets, judged on the rest segments.
