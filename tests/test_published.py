@@ -2,9 +2,12 @@
 
 import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_operators import recording
+from wristwave.plans import jobs as j
 from wristwave.session import shared_path
 from wristwave.sources import reports
 from wristwave.sources.published import publish, published, replaced_runs
@@ -76,3 +79,13 @@ def test_batch_rows(spark):
     rows = {r.sample: r for r in reports.batch_tables(est, qc, F.lit("lms"), F.lit("full"), F.lit("HF"))["summary"].collect()}
     assert rows["a b"].qc_status == "bad" and rows["a b"].error is None and rows["a b"].report == "a_b-green-lms-full-HF"
     assert rows["c"].qc_status == "not_run" and rows["c"].error == "no estimate: no_reference" and rows["c"].best_error is None
+
+
+def test_batch_job_publishes_summary_and_quality(spark):
+    samples = spark.createDataFrame(pd.concat([recording(), recording().assign(recording="b")]))
+    ref = spark.createDataFrame(pd.DataFrame({"recording": "a", "t_s": [float(t) for t in range(90)], "bpm": 72.0}))
+    got = j.batch_report(shared_path(spark, "test-batch"), samples, ref, modes=["ppg_green"])
+    rows = {r["sample"]: r for r in got["summary"].collect()}
+    assert rows["a"].status == "ok" and rows["a"].best_error is not None and rows["a"].ppg_mode == "ppg_green"
+    assert rows["b"].status == "no_reference" and rows["b"].best_error is None and rows["b"].error == "no estimate: no_reference"
+    assert {r.recording: r.qc_status for r in got["qc"].collect()} == {k: r.qc_status for k, r in rows.items()}

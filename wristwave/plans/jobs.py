@@ -21,7 +21,8 @@ from wristwave.operators.delay import delay_profile, window_delays
 from wristwave.operators.sampling import sampled_grid
 from wristwave.operators.tracking import fold, post_motion_slew, post_recovery_blend, tracked, tracked_move
 from wristwave.session import materialise
-from wristwave.sources.reports import optimise_tables
+from wristwave.sources.published import publish, published
+from wristwave.sources.reports import batch_tables, optimise_tables
 
 ACC = ["accx", "accy", "accz"]
 
@@ -477,6 +478,20 @@ def batch_estimate(samples: DataFrame, ref: DataFrame, p: HrParams = SINGLE, mod
         F.when(~bare, F.col("fft")).alias("fft_aae_bpm"), F.when(~bare, F.col("final")).alias("final_aae_bpm"))
 
 
+def batch_report(path: str, samples: DataFrame, ref: DataFrame, p: HrParams = SINGLE, modes: list[str] = ("ppg_green", "ppg_red", "ppg_ir")) -> dict[str, DataFrame]:
+    """E5 with its sinks: the summary of every (recording, mode) and the quality table (S16), published together at ``path``.
+
+    A run without a reference or without an estimate has a row that says so; bad quality is recorded, not blocking.
+    """
+    res = materialise(batch_estimate(samples, ref, p, modes), "batch")
+    status = F.when(F.col("status") == "no_reference", "no_reference").when(F.col("final_aae_bpm").isNull(), "no_estimate").otherwise("ok")
+    est = res.select("recording", "mode", status.alias("status"), F.col("final_aae_bpm").alias("best_error"))
+    qc = quality_scan(samples, p.fs_origin).withColumnRenamed("status", "qc_status")
+    order_key = F.lit("-".join(p.reference_groups))
+    publish(path, "batch", batch_tables(est, qc, F.lit(p.adaptive_filter), F.lit(p.scope), order_key))
+    return published(samples.sparkSession, path, "batch")
+
+
 # ---------------------------------------------------------------- E6
 #: Fields of HrParams that candidates don't depend on: those of the tracking fold, and those of what follows it.
 _TRACKING = {"hr_range_rest", "slew_limit_rest", "slew_step_rest", "hr_range_hz", "slew_limit_bpm", "slew_step_bpm"}
