@@ -55,8 +55,8 @@ def j2(spark, sf):
 
 @query("j3_self_shift", f"WITH {_SHIFT} SELECT recording, window_idx, bias, v FROM sh WHERE bias IN (-2.5, 5)", ("hr",))
 def j3(spark, sf):
-    out = al.shifted(t.hr_rows(spark, sf), "ref_bpm", [-2.5, 5.0])
-    return out.select("recording", "window_idx", F.explode("_at").alias("e")).select("recording", "window_idx", "e.bias", "e.v")
+    hr = t.hr_rows(spark, sf).select("recording", "window_idx", "ref_bpm")
+    return al.shifted_rows(hr, "ref_bpm", [-2.5, 5.0]).select("recording", "window_idx", "bias", "v")
 
 
 @query(
