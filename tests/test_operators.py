@@ -46,6 +46,16 @@ def test_number_rows(spark):
     assert (got["i"] == got["o"]).all() and len(got) == 520
 
 
+def test_number_rows_moves_rows_once(spark):
+    """Keys over many partitions and batches, a key in the middle of one, missing keys; sorted rows meet one number a partition only."""
+    rows = [(k, o) for k, n in ((1, 3000), (2, 1), (3, 9000), (None, 700)) for o in range(n)]
+    df = spark.createDataFrame(rows, "k long, o long").withColumn("v", F.col("o") * 2).repartition(7, "o")
+    got = ck.number_rows(df, "k", ["o"], "i", "t", ["v"])
+    assert got.columns == ["k", "v", "i"]
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.k is None, r.k or 0), r.i, r.v) for r in got.collect()) == sorted(((k is None, k or 0), o, 2 * o) for k, o in rows)
+
+
 @pytest.mark.parametrize("bits", [8, 16])
 def test_exact_percentiles(spark, bits):
     """Duplicates, one and two rows, both zeros, signs, infinities and values of every size."""
