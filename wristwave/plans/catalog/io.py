@@ -72,7 +72,7 @@ def s5(spark, sf):
     nation = F.col("s_nationkey")
     names = F.array_compact(F.array(base, F.when(nation % 2 == 0, F.concat(base, F.lit("_ref"))), F.when(nation % 3 == 0, F.concat(base, F.lit("_HR_ref")))))
     stems = t.table(spark, sf, "supplier").select(F.explode(names).alias("stem"))
-    stems.withColumn("x", F.lit("1")).repartitionByRange("stem").write.partitionBy("stem").csv(path)
+    sk.many_files(stems.withColumn("x", F.lit("1")), "stem").write.partitionBy("stem").csv(path)
     return rec.discover(spark, path)
 
 
@@ -293,7 +293,7 @@ def s18(spark, sf):
     path = shared_path(spark, "corpus")
     p = t.table(spark, sf, "supplier").select(
         F.concat(F.when(F.col("s_nationkey") <= 3, "other").otherwise("multi_bobi"), F.col("s_suppkey").cast("string"), F.lit("-green-lms-best_params.json")).alias("report"), F.col("s_acctbal").alias("min_err_hf"))
-    p.repartitionByRange("report").write.partitionBy("report").json(path)
+    sk.many_files(p, "report").write.partitionBy("report").json(path)
     return sk.scan_best_params(spark, path, "min_err_hf double")
 
 

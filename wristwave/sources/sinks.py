@@ -43,6 +43,12 @@ def write_hr_reference(ref: DataFrame, path: str) -> str:
     return path
 
 
+def many_files(df: DataFrame, by: str) -> DataFrame:
+    """Rows dealt out for a write with a folder for each value: a number of tasks is asked for, as short rows
+    would be merged into one, and it is files that take the time."""
+    return df.repartitionByRange(4 * df.sparkSession.sparkContext.defaultParallelism, by)
+
+
 # ---------------------------------------------------------------- reports (written and read by ``published``)
 def scan_best_params(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``multi_<name><n>-<mode>-<filter>-best_params.json``; other names are dropped."""
