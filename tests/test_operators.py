@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wristwave.operators import align as al
 from wristwave.operators import chunked as ck
 from wristwave.operators import clean, signal as sg, tracking as tr, windows as w
 from wristwave.plans import jobs as j
@@ -56,6 +57,14 @@ def test_number_rows_moves_rows_once(spark):
     assert sorted(((r.k is None, r.k or 0), r.i, r.v) for r in got.collect()) == sorted(((k is None, k or 0), o, 2 * o) for k, o in rows)
 
 
+def test_grid_is_expanded_by_many_tasks(spark):
+    """Few short rows that become many: every task expands its share only."""
+    got = al.grid(spark.range(300).withColumnRenamed("id", "recording"), ["recording"], F.lit(700), "k").withColumn("task", F.spark_partition_id())
+    per = got.groupBy("task").count().collect()
+    assert sum(r["count"] for r in per) == 300 * 700 and max(r["count"] for r in per) < 300 * 700 / spark.sparkContext.defaultParallelism
+    assert got.select("recording", "k").distinct().count() == 300 * 700
+
+
 @pytest.mark.parametrize("bits", [8, 16])
 def test_exact_percentiles(spark, bits):
     """Duplicates, one and two rows, both zeros, signs, infinities and values of every size."""
