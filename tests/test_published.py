@@ -100,3 +100,28 @@ def test_many_files_takes_many_tasks(spark, tmp_path):
     writers.write.partitionBy("stem").csv(str(tmp_path / "files"))
     got = spark.read.schema("x int, task int, stem string").csv(str(tmp_path / "files"))
     assert got.count() == 400 and got.select("task").distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_lines_of_many_files_stay_where_they_are(spark, tmp_path):
+    """Files of one split and of several, each with its own order of columns: numbers and headers without a shuffle of lines."""
+    from wristwave.sources import recordings as rec
+
+    for name, n, head in (("a", 40000, "x,y"), ("b", 5, "y,x"), ("c", 0, "x")):
+        (tmp_path / f"{name}.csv").write_text("\n".join([head, *[f"{name}{i}," + "z" * 20 for i in range(n)]]) + "\n")
+    sizes = {"spark.sql.files.maxPartitionBytes": "100000", "spark.sql.files.openCostInBytes": "1000"}
+    old = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        rows = rec._file_rows(spark, str(tmp_path))
+        got = rows.select(F.regexp_extract("file", r"(\w)\.csv", 1).alias("f"), "line", F.substring_index("value", ",", 1).alias("v"), "header").collect()
+        some = [r.line for r in rows.filter(F.col("value").startswith("b") & F.col("value").contains("z")).collect()]
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(some) == [1, 2, 3, 4, 5]  # a filter on the text doesn't change the count
+    heads = {"a": "x,y", "b": "y,x", "c": "x"}
+    assert len(got) == 40001 + 6 + 1 and all(r.header == heads[r.f] for r in got)
+    assert all(r.v == f"{r.f}{r.line - 1}" for r in got if r.line > 0) and sorted((r.f, r.line) for r in got) == sorted((f, i) for f, n in (("a", 40001), ("b", 6), ("c", 1)) for i in range(n))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
