@@ -15,7 +15,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wristwave.llm import alike, bpe, line_dedup, mixing, quality
+from wristwave.llm import alike, bpe, line_dedup, mixing, near_dedup, quality
 from wristwave.llm.common import drop_tables, fresh_name, made_tables, table, word_count
 from wristwave.session import shared_path
 
@@ -64,8 +64,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose shingles of five words are at least 0.8 alike."""
-    return alike.one_of_each(docs)
+    """One document of each SimHash component (operator 10), then of each group whose shingles of five words are at least 0.8 alike.
+
+    The second step finds what is near by its words but over four bits apart; it sees what the first one kept.
+    """
+    return alike.one_of_each(near_dedup.one_of_each(docs))
 
 
 @stage

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wristwave.llm.common import fresh_name, materialise, ship
+from wristwave.llm.common import fresh_name, materialise, ship, split_rows
 from wristwave.llm.components import connect
 
 SEED = 42
@@ -169,4 +169,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     rows = stored.select(F.col(key).alias("key"), F.col(fp).alias("fp"), F.col(row).alias("place"))
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "fp", "place")).alias("first")
     keep = labelled(rows, radius).groupBy("c").agg(first).select(F.col("first.place").alias("place"))
-    return stored.join(keep, stored[row] == keep["place"], "left_semi").drop(fp, row)
+    place = fresh_name(docs, "gone_place")
+    gone = materialise(stored.select(F.col(row).alias(place)).join(keep, F.col(place) == F.col("place"), "left_anti"), "sim_gone")
+    # texts stay where they are but for those that may have to go
+    may, rest = split_rows(stored, gone.select(F.xxhash64(place).alias("h")), F.col(row))
+    return may.join(gone, may[row] == gone[place], "left_anti").unionByName(rest).drop(fp, row)
