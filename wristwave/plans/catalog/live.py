@@ -75,9 +75,8 @@ SELECT recording, window_idx, {rq("hr", 8)} AS hr FROM tr"""
 
 @query("st3_live_tracker", "WITH " + _LATE_TRACK, ("peaks",))
 def st3(spark, sf):
-    src = tr.sorted_peaks(t.peaks(spark, sf), KEYS)
-    m = t.peaks(spark, sf).groupBy(*KEYS).agg(F.max((F.col("rf") == "R") & (F.col("peak_idx") == 0)).alias("m"))
-    s = transition(src.join(m, KEYS), F.col("m"))
+    src = tr.sorted_peaks(t.peaks(spark, sf), KEYS, m=F.max((F.col("rf") == "R") & (F.col("peak_idx") == 0)))
+    s = transition(src, F.col("m"))
     s = s.select(*KEYS, "freqs", (F.col("enters") & (F.col("window_idx") > 0)).alias("reset"))
     s = live.with_event_time(s, "window_idx")
     stream = live.file_stream(spark, s, shared_path(spark, "st3-in"), F.expr(_arrival("window_idx", "window_idx")), BATCHES)
